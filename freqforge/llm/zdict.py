@@ -10,15 +10,15 @@ LEVEL = 3
 BLOCK = 2048  # bytes; a long text is compressed block by block, so the dictionary counts throughout
 
 
-def sizer(dictionary: bytes, raw: bool):
-    """bytes -> compressed size with this dictionary, block by block."""
-    kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_AUTO
+def sizer(dictionary: bytes, raw: bool, **params):
+    """bytes -> compressed size with this dictionary, block by block. params: of
+    ZstdCompressionParameters, else LEVEL's."""
+    p = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False, **params)
+    d = None
     if dictionary:
-        d = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
-        d.precompute_compress(LEVEL)
-    else:
-        d = None
-    c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_AUTO)
+        d.precompute_compress(compression_params=p)
+    c = zstandard.ZstdCompressor(compression_params=p, dict_data=d)
 
     def size(t: bytes) -> int:
         if len(t) <= BLOCK:
