@@ -35,7 +35,7 @@ from .common import read, table
 CAPACITY = 2048
 END = 0
 CACHE = 300_000
-ROWS_A_BUCKET = 1 << 16
+ROWS_A_BUCKET = 1 << 12
 
 # The pre-tokenizer pattern of the byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -246,7 +246,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     shared = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
-    buckets = max(1, sum(counts.values()) // ROWS_A_BUCKET)
+    buckets = 16 + sum(counts.values()) // ROWS_A_BUCKET
     rows = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sums = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sums.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
