@@ -1,7 +1,60 @@
-"""A training corpus from `documents`: classify, de-duplicate, redact, mix, pack."""
-STAGES = []
+"""A training corpus from `documents`: classify, remove near duplicates, redact, mix, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept; its result is
+written as Parquet and read again. All but the last return the columns of `documents`.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from freqforge.llm import jaccard, mixing, packing, quality, secrets
+from freqforge.llm.common import read, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier doesn't reject."""
+    model = quality.fit(docs, quality.training_labels(read(spark, sf_dir, "labels")))
+    return quality.with_score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least doc_id. Rows of one
+    doc_id are one document; null ids stay."""
+    found = jaccard.join(docs)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by the name of their kind."""
+    return secrets.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: a row per piece of a document, with its place."""
+    return packing.pack_documents(docs, packing.tokenizer_file())
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("secret_scans", redact_secrets),
+    ("mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Dictionaries, redaction and tokens have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = table(stage(spark, docs, sf_dir), name)
+    return docs

@@ -44,14 +44,19 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weight
     return s.select("skey", "source_size", F.when(above, F.col("star.lam") * F.col("w")).otherwise(F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and reps: how often the document is in the mix.
-    Columns named in `carry` go along."""
-    t = docs[text]
-    size = F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long")
+def _parts(docs: DataFrame, doc_id: str, text: str, source: str, seed: str):
+    """Expressions of a row's size, source key and place in the order."""
+    size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long")
     skey = F.concat(F.when(docs[source].isNull(), "1").otherwise("0"), F.coalesce(docs[source], F.lit("")))
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(docs[doc_id].cast("string"), F.lit(""))).cast("binary"))
-    rows = table(docs.select(docs[doc_id].alias("doc_id"), skey.alias("skey"), size.alias("size"), h.alias("h"), *[docs[c] for c in carry]), "mix-rows")
+    return size, skey, h
+
+
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and reps (how often the document is in the mix),
+    whole, skey and h."""
+    size, skey, h = _parts(docs, doc_id, text, source, seed)
+    rows = table(docs.select(docs[doc_id].alias("doc_id"), skey.alias("skey"), size.alias("size"), h.alias("h")), "mix-rows")
     rows = rows.withColumn("bucket", F.substring("h", 1, 3))
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
     want = targets(sums.groupBy("skey").agg(F.sum("n").alias("source_size")), share, epochs, weights)
@@ -63,11 +68,30 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     rest = F.col("target") - whole * F.col("source_size")
     extra = (rest > 0) & (2 * (F.col("before") + F.col("upto")) - F.col("size") <= 2 * rest)
     reps = whole + extra.cast("long")
-    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * reps).alias("taken"), reps.alias("reps"), *carry)
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * reps).alias("taken"), reps.alias("reps"), whole.alias("whole"), "skey", "h")
+
+
+#: so many sources may be broadcast
+SOURCES = 100_000
+
+
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **how) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it; columns stay. A source's documents are
+    taken up to a place in its order, so rows need only their source's cut, and no text is shuffled."""
+    got = mix(docs, doc_id=doc_id, text=text, source=source, seed=seed, **how)
+    last = F.max(F.when(F.col("reps") > F.col("whole"), F.struct("h", F.col("doc_id").alias("i"), F.col("size").alias("s"))))
+    cuts = table(got.groupBy("skey").agg(F.max("whole").alias("whole"), last.alias("last")), "mix-cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= SOURCES else cuts
+    size, skey, h = _parts(docs, doc_id, text, source, seed)
+    here = F.struct(h.alias("h"), docs[doc_id].alias("i"), size.alias("s"))
+    cut = cuts.select(F.struct("*").alias("__cut"))
+    rows = docs.join(cut, F.col("__cut.skey") == skey)
+    reps = F.col("__cut.whole") + F.coalesce((here <= F.col("__cut.last")).cast("long"), F.lit(0))
+    return rows.withColumn("__reps", reps).where("__reps > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__reps")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).drop("reps")
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = rf"""
