@@ -109,4 +109,4 @@ def structured_missingness(af: DataFrame, pops: list[str]) -> DataFrame:
     wide = af.groupBy("variant_idx").pivot("pop", pops).agg(F.first("p"))
     cells = [F.struct(F.lit(a).alias("pop1"), F.lit(b).alias("pop2"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").isNull().cast("double").alias("y")) for a in pops for b in pops if a != b]
     long = wide.select(F.inline(F.array(*cells))).where("x IS NOT NULL")
-    return long.groupBy("pop1", "pop2").agg(nan_to_null(F.corr("x", "y")).alias("r"), F.count("*").alias("n"))
+    return long.groupBy("pop1", "pop2").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"), F.count("*").alias("n"))

@@ -23,7 +23,7 @@ def individuals(g: DataFrame) -> DataFrame:
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("variant_idx"), "p_size")
-    i = F.col("variant_idx") - 1
+    i = F.col("variant_idx")
     letters = F.array(*map(F.lit, "ACGT"))
     return p.select("variant_idx", F.concat(F.lit("rs"), "variant_idx").alias("snp"), (1 + F.floor(i / 100)).cast("string").alias("chr"), (i % 100).cast("double").alias("cm"), (1000.0 * F.col("variant_idx")).alias("pos"), F.get(letters, (F.col("variant_idx") % 4).cast("int")).alias("a1"), F.get(letters, ((F.col("variant_idx") + 1 + F.col("p_size") % 3) % 4).cast("int")).alias("a2"))
 
@@ -33,9 +33,9 @@ CTE = """
 g AS (SELECT l_partkey AS v, CAST(l_suppkey AS VARCHAR) AS s, r_name AS pop, CAST(l_quantity AS INT) % 3 AS g
       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 af AS (SELECT v, pop, avg(g) / 2e0 AS p, 2e0 * count(*) AS n FROM g GROUP BY v, pop),
-va AS (SELECT p_partkey AS v, 'rs' || p_partkey AS snp, 1 + (p_partkey - 1) // 100 AS chr, (p_partkey - 1) % 100 AS cm,
+va AS (SELECT p_partkey AS v, 'rs' || p_partkey AS snp, 1 + p_partkey // 100 AS chr, p_partkey % 100 AS cm,
        substr('ACGT', CAST(1 + p_partkey % 4 AS INT), 1) AS a1, substr('ACGT', CAST(1 + (p_partkey + 1 + p_size % 3) % 4 AS INT), 1) AS a2 FROM part),
-bl AS (SELECT v, CAST(1 + (v - 1) // 25 AS INT) AS b FROM va),
+bl AS (SELECT v, CAST(1 + v // 25 AS INT) AS b FROM va),
 bn AS (SELECT b, count(*) AS n_snps FROM bl GROUP BY b),
 pr AS (SELECT x.v, bl.b, x.pop AS pop1, x.p AS p1, x.n AS n1, y.pop AS pop2, y.p AS p2, y.n AS n2
        FROM af x JOIN af y ON x.v = y.v AND x.pop <= y.pop JOIN bl ON bl.v = x.v),

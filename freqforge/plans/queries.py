@@ -1,9 +1,528 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""Registered queries of the engine's own operators on the observation view, and their SQL.
+
+Results are rounded, as sums depend on the order of rows in the last digits.
+"""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import af as A
+from ..operators import blocks as B
+from ..operators import fstats as S
+from ..operators import resample as R
+from .observations import BLOCK_CM, CTE, geno, individuals, variants
+
+POPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def query(sql: str | None = None, ctes: str = CTE):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = (f"WITH RECURSIVE {ctes}\n" if ctes else "") + sql.replace(", 9) AS", ", 9) + 0e0 AS")  # no negative zero
+        return f
+
+    return add
+
+
+def _r(*names: str) -> str:
+    return ", ".join(f"round({x.split(' AS ')[0]}, 9) AS {x.split(' AS ')[-1]}" for x in names)
+
+
+def af_of(spark, d):
+    return A.allele_frequencies(geno(spark, d))
+
+
+def blocks_of(spark, d):
+    return B.assign_blocks(variants(spark, d), BLOCK_CM, "cm")
+
+
+def pair_of(spark, d):
+    return S.pair_blocks(af_of(spark, d), blocks_of(spark, d))
+
+
+def stat(spark, d, kind: str) -> DataFrame:
+    """block, pop1, pop2, est, n_snps of one kind of pair statistic."""
+    bl = blocks_of(spark, d)
+    return S.pair_blocks(af_of(spark, d), bl).select("block", "pop1", "pop2", F.col(kind).alias("est")).join(F.broadcast(B.block_lengths(bl)), "block")
+
+
+# --- frequencies and filters
+
+@query(f"SELECT v AS variant_idx, pop, {_r('p', 'n')} FROM af")
+def allele_frequencies(spark, d):
+    return af_of(spark, d)
+
+
+_FEAT = """, ft AS (SELECT v, 1 - count(*) / 5e0 AS miss, least(sum(p * n) / sum(n), 1 - sum(p * n) / sum(n)) AS maf, least(sum(p * n), sum(n) - sum(p * n)) AS minac,
+  min(p) <> max(p) AS poly, max(CASE WHEN pop = 'ASIA' THEN p END) AS outaf FROM af GROUP BY v)"""
+
+
+@query(f"SELECT v AS variant_idx, {_r('miss', 'maf', 'minac')}, poly, {_r('outaf')} FROM ft", CTE + _FEAT)
+def snp_features(spark, d):
+    return A.snp_features(af_of(spark, d), 5, "ASIA")
+
+
+_TS = "array_to_string(list_sort([a1, a2]), '')"
+
+
+@query(f"""SELECT v AS variant_idx, snp, CAST(chr AS VARCHAR) AS chr FROM ft JOIN va USING (v) WHERE miss <= 0.2e0 AND maf BETWEEN 0.4e0 AND 0.5e0 AND minac > 1
+AND outaf > 0 AND outaf < 1 AND chr <= 22 AND poly AND {_TS} IN ('AC', 'AT', 'CG', 'GT')""", CTE + _FEAT)
+def snp_filter(spark, d):
+    f = A.snp_features(af_of(spark, d), 5, "ASIA")
+    return A.keep_snps(f, variants(spark, d), maxmiss=0.2, minmaf=0.4, minac2=True, outpop=True, poly_only=True, transitions=False).select("variant_idx", "snp", "chr")
+
+
+@query(f"SELECT v AS variant_idx, pop, {_r('p', 'n')} FROM af WHERE v IN (SELECT v FROM ft JOIN va USING (v) WHERE miss <= 0 AND maf <= 0.5 AND chr <= 22)", CTE + _FEAT)
+def discard_from_aftable(spark, d):
+    return A.discard_from_aftable(af_of(spark, d), variants(spark, d), 5)
+
+
+_IND = ", gi AS (SELECT v, s, pop, max(g) AS g FROM g GROUP BY v, s, pop)"
+
+
+@query("""SELECT v AS variant_idx, s AS sample_id, pop, g AS dosage FROM gi WHERE v IN (
+SELECT v FROM (SELECT v, 1 - count(g) / CAST((SELECT count(*) FROM supplier) AS DOUBLE) AS miss, avg(g) / 2 AS f, min(g) <> max(g) AS poly FROM gi GROUP BY v) JOIN va USING (v)
+WHERE miss <= 0.7e0 AND least(f, 1 - f) BETWEEN 0.3e0 AND 0.5e0 AND poly AND chr <= 22)""", CTE + _IND)
+def discard_from_geno(spark, d):
+    n = spark.read.parquet(f"{d}/supplier.parquet").count()
+    return A.discard_from_geno(individuals(geno(spark, d)), variants(spark, d), n, maxmiss=0.7, minmaf=0.3, poly_only=True)
+
+
+@query("""SELECT s AS sample_id, CAST(1 + coalesce(max(CAST(g = 1 AS INT)), 0) AS INT) AS ploidy FROM gi
+WHERE v IN (SELECT DISTINCT v FROM gi ORDER BY v LIMIT 3) GROUP BY s""", CTE + _IND)
+def sample_ploidy(spark, d):
+    return A.sample_ploidy(individuals(geno(spark, d)), 3)
+
+
+@query(f"""SELECT gi.v AS variant_idx, pop, round(sum(g / (3e0 - ploidy)) / sum(ploidy), 9) AS p, CAST(sum(ploidy) AS DOUBLE) AS n FROM gi
+JOIN (SELECT s, 1 + coalesce(max(CAST(g = 1 AS INT)), 0) AS ploidy FROM gi WHERE v IN (SELECT DISTINCT v FROM gi ORDER BY v LIMIT 3) GROUP BY s) q ON q.s = gi.s GROUP BY gi.v, pop""", CTE + _IND)
+def pseudohaploid_frequencies(spark, d):
+    g = individuals(geno(spark, d))
+    return A.allele_frequencies(g, A.sample_ploidy(g, 3))
+
+
+@query("""SELECT v AS variant_idx, s AS sample_id, pop, CASE WHEN g = 1 THEN CASE WHEN substr(md5('7:' || v || ':' || s), 1, 1) < '8' THEN 0 ELSE 2 END ELSE g END AS dosage FROM gi""", CTE + _IND)
+def make_pseudohaploid(spark, d):
+    return A.make_pseudohaploid(individuals(geno(spark, d)), "7")
+
+
+_GRID = ", gr AS (SELECT va.v, q.pop, af.p FROM va CROSS JOIN (SELECT DISTINCT pop FROM af) q LEFT JOIN af ON af.v = va.v AND af.pop = q.pop)"
+
+
+@query("SELECT v AS variant_idx, pop, round(coalesce(p, avg(p) OVER (PARTITION BY v)), 9) AS p FROM gr", CTE + _GRID)
+def mean_impute(spark, d):
+    af = af_of(spark, d)
+    grid = variants(spark, d).select("variant_idx").withColumn("pop", F.explode(F.array(*map(F.lit, POPS))))
+    return A.mean_impute(grid.join(af.select("variant_idx", "pop", "p"), ["variant_idx", "pop"], "left"), "p", "variant_idx")
+
+
+@query("""SELECT x.pop AS pop1, y.pop AS pop2, CASE WHEN isfinite(corr(x.p, CAST(y.p IS NULL AS DOUBLE))) THEN round(corr(x.p, CAST(y.p IS NULL AS DOUBLE)), 9) END AS r, count(*) AS n
+FROM gr x JOIN gr y ON x.v = y.v AND x.pop <> y.pop WHERE x.p IS NOT NULL GROUP BY 1, 2""", CTE + _GRID)
+def structured_missingness(spark, d):
+    return A.structured_missingness(af_of(spark, d), POPS)
+
+
+# --- blocks
+
+_IRREG = """, w AS (SELECT v, chr, cm FROM va WHERE v % 7 <> 0 AND v % 5 <> 1),
+st(chr, cm) AS (SELECT chr, min(cm) FROM w GROUP BY chr
+  UNION SELECT st.chr, (SELECT min(cm) FROM w WHERE w.chr = st.chr AND w.cm >= st.cm + 13) FROM st WHERE (SELECT min(cm) FROM w WHERE w.chr = st.chr AND w.cm >= st.cm + 13) IS NOT NULL),
+sn AS (SELECT chr, cm, row_number() OVER (ORDER BY chr, cm) AS b FROM st),
+gb AS (SELECT w.v, CAST(max(b) AS INT) AS b FROM w JOIN sn ON sn.chr = w.chr AND sn.cm <= w.cm GROUP BY w.v)"""
+
+
+@query("SELECT v AS variant_idx, b AS block FROM gb", CTE + _IRREG)
+def greedy_blocks(spark, d):
+    v = variants(spark, d).where("variant_idx % 7 <> 0 AND variant_idx % 5 <> 1")
+    return B.assign_blocks(v, 13.0, "cm").select("variant_idx", "block")
+
+
+@query("SELECT b AS block, count(*) AS n_snps FROM gb GROUP BY b", CTE + _IRREG)
+def block_lengths(spark, d):
+    v = variants(spark, d).where("variant_idx % 7 <> 0 AND variant_idx % 5 <> 1")
+    return B.block_lengths(B.assign_blocks(v, 13.0, "cm"))
+
+
+@query("SELECT sum(n_snps) AS n_snps FROM (SELECT CAST(n_snps AS BIGINT) AS n_snps FROM bn)".replace("sum(n_snps) AS", "CAST(sum(n_snps) AS BIGINT) AS"))
+def count_snps(spark, d):
+    return B.block_lengths(blocks_of(spark, d)).agg(F.sum("n_snps").alias("n_snps"))
+
+
+@query(f"SELECT b AS block, pop1, pop2, {_r('f2', 'ap', 'fst')}, n FROM pb")
+def pair_blocks(spark, d):
+    return pair_of(spark, d)
+
+
+@query("SELECT pb.b AS block, pop1, pop2, round(n / CAST(n_snps AS DOUBLE), 9) AS share FROM pb JOIN bn ON bn.b = pb.b")
+def count_blocks(spark, d):
+    return S.count_blocks(af_of(spark, d), blocks_of(spark, d))
+
+
+@query("""SELECT b AS block, pop1, pop2, CASE WHEN pop1 = pop2 THEN 0 ELSE round(avg(f2 / (q * (1 - q))), 9) END AS f2
+FROM pt JOIN (SELECT v, p AS q FROM af WHERE pop = 'ASIA' AND p > 0 AND p < 1) o ON o.v = pt.v GROUP BY b, pop1, pop2""")
+def f2_outgroup_weighted(spark, d):
+    af = af_of(spark, d)
+    w = af.where("pop = 'ASIA' AND p > 0 AND p < 1").select("variant_idx", (1 / (F.col("p") * (1 - F.col("p")))).alias("w"))
+    return S.pair_blocks(af, blocks_of(spark, d), snpwt=w).select("block", "pop1", "pop2", "f2")
+
+
+@query("""SELECT b AS block, pop1, pop2, CASE WHEN pop1 = pop2 THEN 0 ELSE round((-2 * ap - (SELECT min(-2 * ap) FROM pb)) * 1e0 / ((SELECT max(-2 * ap) FROM pb) - (SELECT min(-2 * ap) FROM pb)), 9) END AS est FROM pb""")
+def scale_ap_blocks(spark, d):
+    return S.scale_ap(pair_of(spark, d).select("block", "pop1", "pop2", F.col("ap").alias("est")), 0.0, 1.0)
+
+
+# --- leave-one-out, jackknife, bootstrap
+
+def _jack(source: str, keys: str, est: str = "est", n: str = "n") -> str:
+    """CTEs lo (loo, tot, r), jk (est, se) over a relation with keys, b, est, n."""
+    w = f"PARTITION BY {keys}"
+    return f""", t0 AS ({source}),
+t1 AS (SELECT *, sum(est * n) OVER ({w}) / sum(n) OVER ({w}) AS tot, n * 1e0 / sum(n) OVER ({w}) AS r FROM t0 WHERE est IS NOT NULL),
+lo AS (SELECT *, (tot - est * r) / nullif(1 - r, 0) AS loo FROM t1),
+t2 AS (SELECT *, sum(loo * (1 - r)) OVER ({w}) / nullif(sum(1 - r) OVER ({w}), 0) AS e FROM lo WHERE loo IS NOT NULL),
+jk AS (SELECT {keys}, any_value(e) AS est, sqrt(avg((e - loo) * (e - loo) * (1 / r - 1))) AS se FROM t2 GROUP BY {keys})"""
+
+
+_F2 = "SELECT pb.b, pop1, pop2, f2 AS est, n_snps AS n FROM pb JOIN bn ON bn.b = pb.b WHERE pop1 < pop2"
+
+
+@query(f"SELECT b AS block, pop1, pop2, {_r('loo', 'tot', 'r')} FROM lo", CTE + _jack(_F2, "pop1, pop2"))
+def est_to_loo(spark, d):
+    x = stat(spark, d, "f2").where("pop1 < pop2").withColumnRenamed("n_snps", "n")
+    return R.est_to_loo(x, ["pop1", "pop2"]).select("block", "pop1", "pop2", "loo", "tot", "r")
+
+
+@query("SELECT b AS block, pop1, pop2, round(est, 9) AS est FROM t0", CTE + _jack(_F2, "pop1, pop2"))
+def loo_to_est(spark, d):
+    x = stat(spark, d, "f2").where("pop1 < pop2").withColumnRenamed("n_snps", "n")
+    return R.loo_to_est(R.est_to_loo(x, ["pop1", "pop2"]).drop("est", "tot", "r"), ["pop1", "pop2"]).select("block", "pop1", "pop2", "est")
+
+
+def _stat_jack(spark, d, kind):
+    x = stat(spark, d, kind).where("pop1 < pop2").withColumnRenamed("n_snps", "n")
+    return R.jackknife(R.est_to_loo(x, ["pop1", "pop2"]), ["pop1", "pop2"])
+
+
+@query(f"SELECT pop1, pop2, {_r('est', 'se')} FROM jk", CTE + _jack(_F2, "pop1, pop2"))
+def f2_jackknife(spark, d):
+    return _stat_jack(spark, d, "f2")
+
+
+@query(f"SELECT pop1, pop2, {_r('est', 'se')} FROM jk", CTE + _jack(_F2.replace("f2 AS", "fst AS"), "pop1, pop2"))
+def fst_jackknife(spark, d):
+    return _stat_jack(spark, d, "fst")
+
+
+@query("""SELECT pop1, pop2, round(any_value(e), 9) AS est, round(sqrt(avg(power(h * tot - (h - 1) * loo - e, 2) / (h - 1))), 9) AS se FROM (
+SELECT *, sum(n) OVER w * 1e0 / n AS h, sum(tot - loo) OVER w + sum(loo * n) OVER w / sum(n) OVER w AS e FROM lo WINDOW w AS (PARTITION BY pop1, pop2)) GROUP BY pop1, pop2""", CTE + _jack(_F2, "pop1, pop2"))
+def jackknife_with_total(spark, d):
+    x = stat(spark, d, "f2").where("pop1 < pop2").withColumnRenamed("n_snps", "n")
+    return R.jackknife_tot(R.est_to_loo(x, ["pop1", "pop2"]), ["pop1", "pop2"])
+
+
+_DRAWS = """, ids AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS k, count(*) OVER () AS m FROM bn),
+dr AS (SELECT rep, ids.b, count(*) AS times FROM (SELECT CAST(i // m AS INT) AS rep, CAST(('0x' || substr(md5('3:' || CAST(i // m AS INT) || ':' || i % m), 1, 8)) AS BIGINT) % m AS k
+  FROM (SELECT unnest(range(20 * m)) AS i, m FROM (SELECT max(m) AS m FROM ids))) JOIN ids USING (k) GROUP BY rep, ids.b),
+bo AS (SELECT pop1, pop2, rep, sum(est * n * times) / sum(n * times) AS boo FROM t0 JOIN dr ON dr.b = t0.b GROUP BY pop1, pop2, rep)"""
+
+
+@query(f"SELECT pop1, pop2, rep, {_r('boo')} FROM bo", CTE + _jack(_F2, "pop1, pop2") + _DRAWS)
+def f2_bootstrap(spark, d):
+    x = stat(spark, d, "f2").where("pop1 < pop2").withColumnRenamed("n_snps", "n")
+    return R.est_to_boo(x, ["pop1", "pop2"], 20, "3")
+
+
+@query("SELECT pop1, pop2, round(avg(boo), 9) AS est, round(stddev_samp(boo), 9) AS se FROM bo GROUP BY pop1, pop2", CTE + _jack(_F2, "pop1, pop2") + _DRAWS)
+def f2_bootstrap_stats(spark, d):
+    x = stat(spark, d, "f2").where("pop1 < pop2").withColumnRenamed("n_snps", "n")
+    return R.boot_stats(R.est_to_boo(x, ["pop1", "pop2"], 20, "3"), ["pop1", "pop2"])
+
+
+@query('SELECT pop1 AS "from", pop2 AS "to", \'normal\' AS type, round(quantile_cont(boo, 0.05), 9) AS low, round(quantile_cont(boo, 0.95), 9) AS high, round(avg(boo), 9) AS weight FROM bo GROUP BY pop1, pop2', CTE + _jack(_F2, "pop1, pop2") + _DRAWS)
+def summarize_fits(spark, d):
+    x = stat(spark, d, "f2").where("pop1 < pop2").withColumnRenamed("n_snps", "n")
+    boo = R.est_to_boo(x, ["pop1", "pop2"], 20, "3")
+    return R.summarize_fits(boo.select(F.col("pop1").alias("from"), F.col("pop2").alias("to"), F.lit("normal").alias("type"), F.col("boo").alias("weight")))
+
+
+@query("""SELECT round(avg(d), 9) AS diff, round(stddev_samp(d), 9) AS se, round(avg(d) / stddev_samp(d), 9) AS z, round(greatest(2 * least(avg(CAST(d > 0 AS INT)), 1 - avg(CAST(d > 0 AS INT))), 1e0 / count(*)), 9) AS p_emp,
+round(2 * least(avg(CAST(d > 0 AS INT)), 1 - avg(CAST(d > 0 AS INT))), 9) AS p_emp_nocorr, round(quantile_cont(d, 0.025), 9) AS ci_low, round(quantile_cont(d, 0.975), 9) AS ci_high
+FROM (SELECT x.boo - y.boo AS d FROM bo x JOIN bo y ON x.rep = y.rep WHERE x.pop1 = 'AFRICA' AND x.pop2 = 'ASIA' AND y.pop1 = 'AMERICA' AND y.pop2 = 'EUROPE') WHERE d <> 0""", CTE + _jack(_F2, "pop1, pop2") + _DRAWS)
+def compare_fits(spark, d):
+    x = stat(spark, d, "f2").where("pop1 < pop2").withColumnRenamed("n_snps", "n")
+    boo = R.est_to_boo(x, ["pop1", "pop2"], 20, "3")
+    a = boo.where("pop1 = 'AFRICA' AND pop2 = 'ASIA'").select("rep", F.col("boo").alias("score1"))
+    b = boo.where("pop1 = 'AMERICA' AND pop2 = 'EUROPE'").select("rep", F.col("boo").alias("score2"))
+    return R.compare_fits(a.join(b, "rep"))
+
+
+@query("""SELECT rep, pop1, pop2, round(sum(est * n) / sum(n), 9) AS est FROM (SELECT q.b AS rep, t0.* FROM t0 JOIN bn q ON q.b <> t0.b) GROUP BY rep, pop1, pop2""", CTE + _jack(_F2, "pop1, pop2"))
+def loo_list(spark, d):
+    x = stat(spark, d, "f2").where("pop1 < pop2").withColumnRenamed("n_snps", "n")
+    return R.loo_list(x).groupBy("rep", "pop1", "pop2").agg((F.sum(F.col("est") * F.col("n")) / F.sum("n")).alias("est"))
+
+
+@query(f"SELECT pop, \"column\", {_r('est', 'se')} FROM jk", CTE + _jack("SELECT pop, bl.b, 'het' AS \"column\", avg(2 * p * (1 - p)) AS est, count(*) AS n FROM af JOIN bl ON bl.v = af.v GROUP BY pop, bl.b UNION ALL SELECT pop, bl.b, 'p', avg(p), count(*) FROM af JOIN bl ON bl.v = af.v GROUP BY pop, bl.b", "pop, \"column\""))
+def snp_columns_jackknife(spark, d):
+    s = af_of(spark, d).join(blocks_of(spark, d).select("variant_idx", "block"), "variant_idx").withColumn("het", 2 * F.col("p") * (1 - F.col("p")))
+    return R.snp_jackknife(s, ["het", "p"], ["pop"])
+
+
+# --- f3, f4, D, ratios
+
+_P = "(SELECT DISTINCT pop FROM af)"
+_C3 = f"""c3 AS (SELECT unnest([{{'pop1': a.pop, 'pop2': b.pop, 'pop3': c.pop}}, {{'pop1': b.pop, 'pop2': a.pop, 'pop3': c.pop}}, {{'pop1': c.pop, 'pop2': a.pop, 'pop3': b.pop}}], recursive := true)
+  FROM {_P} a JOIN {_P} b ON a.pop < b.pop JOIN {_P} c ON b.pop < c.pop)"""
+_C4 = f"""c4 AS (SELECT unnest([{{'pop1': a.pop, 'pop2': b.pop, 'pop3': c.pop, 'pop4': d.pop}}, {{'pop1': a.pop, 'pop2': c.pop, 'pop3': b.pop, 'pop4': d.pop}}, {{'pop1': a.pop, 'pop2': d.pop, 'pop3': b.pop, 'pop4': c.pop}}], recursive := true)
+  FROM {_P} a JOIN {_P} b ON a.pop < b.pop JOIN {_P} c ON b.pop < c.pop JOIN {_P} d ON c.pop < d.pop)"""
+_SYM = "sy AS (SELECT pb.b, pop1 AS x, pop2 AS y, f2 AS e, CASE WHEN pop1 = pop2 THEN 0 ELSE -2 * ap END AS a, n_snps AS n FROM pb JOIN bn ON bn.b = pb.b UNION SELECT pb.b, pop2, pop1, f2, CASE WHEN pop1 = pop2 THEN 0 ELSE -2 * ap END, n_snps FROM pb JOIN bn ON bn.b = pb.b)"
+
+
+def _f4sql(col: str) -> str:
+    return f"""SELECT p.b, pop1, pop2, pop3, pop4, (p.{col} + q.{col} - r.{col} - s.{col}) / 2 AS est, p.n FROM c4 JOIN sy p ON p.x = pop1 AND p.y = pop4 JOIN sy q ON q.x = pop2 AND q.y = pop3 AND q.b = p.b
+JOIN sy r ON r.x = pop1 AND r.y = pop3 AND r.b = p.b JOIN sy s ON s.x = pop2 AND s.y = pop4 AND s.b = p.b"""
+
+
+_F3SQL = """SELECT p.b, pop1, pop2, pop3, (p.e + q.e - r.e) / 2 AS est, p.n FROM c3 JOIN sy p ON p.x = pop1 AND p.y = pop2 JOIN sy q ON q.x = pop1 AND q.y = pop3 AND q.b = p.b JOIN sy r ON r.x = pop2 AND r.y = pop3 AND r.b = p.b"""
+_K3, _K4 = ["pop1", "pop2", "pop3"], ["pop1", "pop2", "pop3", "pop4"]
+
+
+@query("SELECT * FROM c4", CTE + ", " + _C4)
+def f4_combinations(spark, d):
+    return S.combs_table(spark.range(1), S.popcombs(POPS, 4))
+
+
+@query(f"SELECT pop1, pop2, pop3, {_r('est', 'se', 'est / se AS z')} FROM jk", f"{CTE}, {_C3}, {_SYM}" + _jack(_F3SQL, "pop1, pop2, pop3"))
+def f3(spark, d):
+    f2 = stat(spark, d, "f2")
+    x = S.f3_blocks(f2, S.combs_table(f2, S.popcombs(POPS, 3))).withColumnRenamed("n_snps", "n")
+    return R.with_z(R.jackknife(R.est_to_loo(x, _K3), _K3))
+
+
+def _f4(spark, d, kind):
+    f2 = stat(spark, d, kind)
+    if kind == "ap":
+        f2 = S.scale_ap(f2)
+    return S.f4_blocks(f2, S.combs_table(f2, S.popcombs(POPS, 4))).withColumnRenamed("n_snps", "n")
+
+
+@query(f"SELECT pop1, pop2, pop3, pop4, {_r('est', 'se', 'est / se AS z')} FROM jk", f"{CTE}, {_C4}, {_SYM}" + _jack(_f4sql("a"), "pop1, pop2, pop3, pop4"))
+def f4(spark, d):
+    return R.with_z(R.jackknife(R.est_to_loo(_f4(spark, d, "ap"), _K4), _K4))
+
+
+@query(f"SELECT b AS block, pop1, pop2, pop3, pop4, {_r('est')} FROM t0", f"{CTE}, {_C4}, {_SYM}" + _jack(_f4sql("e"), "pop1, pop2, pop3, pop4"))
+def f4_from_f2(spark, d):
+    return _f4(spark, d, "f2").select("block", *_K4, "est")
+
+
+def _geno4(where: str = "") -> str:
+    return f"""SELECT bl.b, pop1, pop2, pop3, pop4, avg((w.p - x.p) * (y.p - z.p)) AS est, avg((w.p + x.p - 2 * w.p * x.p) * (y.p + z.p - 2 * y.p * z.p)) AS den, count(*) AS n
+FROM c4 JOIN af w ON w.pop = pop1 JOIN af x ON x.pop = pop2 AND x.v = w.v JOIN af y ON y.pop = pop3 AND y.v = w.v JOIN af z ON z.pop = pop4 AND z.v = w.v JOIN bl ON bl.v = w.v {where} GROUP BY bl.b, pop1, pop2, pop3, pop4"""
+
+
+_ALL5 = "WHERE w.v IN (SELECT v FROM af GROUP BY v HAVING count(*) = 5)"
+
+
+def _g4(spark, d, allsnps, **kw):
+    af = af_of(spark, d)
+    return S.f4_geno_blocks(af, blocks_of(spark, d), S.combs_table(af, S.popcombs(POPS, 4)), allsnps=allsnps, **kw)
+
+
+@query(f"SELECT b AS block, pop1, pop2, pop3, pop4, {_r('est', 'den')}, n FROM t0", f"{CTE}, {_C4}" + _jack(_geno4(), "pop1, pop2, pop3, pop4"))
+def f4_genotype_blocks(spark, d):
+    return _g4(spark, d, True)
+
+
+@query(f"SELECT pop1, pop2, pop3, pop4, {_r('est', 'se', 'est / se AS z')} FROM jk", f"{CTE}, {_C4}" + _jack(_geno4(), "pop1, pop2, pop3, pop4"))
+def f4_allsnps(spark, d):
+    return R.with_z(R.jackknife(R.est_to_loo(_g4(spark, d, True), _K4), _K4))
+
+
+@query(f"SELECT pop1, pop2, pop3, pop4, {_r('est', 'se', 'est / se AS z')} FROM jk", f"{CTE}, {_C4}" + _jack(_geno4(_ALL5), "pop1, pop2, pop3, pop4"))
+def f4_common_snps(spark, d):
+    return R.with_z(R.jackknife(R.est_to_loo(_g4(spark, d, False), _K4), _K4))
+
+
+@query(f"SELECT b AS block, pop1, pop2, pop3, pop4, round(est, 9) AS est, n FROM t0", f"{CTE}, {_C4}" + _jack(_geno4("WHERE NOT (w.p = x.p AND x.p = y.p AND y.p = z.p)"), "pop1, pop2, pop3, pop4"))
+def f4_polymorphic(spark, d):
+    return _g4(spark, d, True, poly_only=True).select("block", *_K4, "est", "n")
+
+
+_W4 = "PARTITION BY pop1, pop2, pop3, pop4"
+_RATIO = f""", l1 AS (SELECT *, sum(x * n) OVER (PARTITION BY KEYS) / sum(n) OVER (PARTITION BY KEYS) AS tx, sum(y * n) OVER (PARTITION BY KEYS) / sum(n) OVER (PARTITION BY KEYS) AS ty, n * 1e0 / sum(n) OVER (PARTITION BY KEYS) AS r FROM xy WHERE abs(y) >= 1e-6),
+l2 AS (SELECT *, ((tx - x * r) / (1 - r)) / ((ty - y * r) / (1 - r)) AS loo, tx / ty AS tot, 1 / r AS h FROM l1),
+l3 AS (SELECT *, sum(tot - loo) OVER (PARTITION BY KEYS) + sum(loo * n) OVER (PARTITION BY KEYS) / sum(n) OVER (PARTITION BY KEYS) AS e FROM l2),
+rj AS (SELECT KEYS, any_value(e) AS est, sqrt(avg(power(h * tot - (h - 1) * loo - e, 2) / (h - 1))) AS se FROM l3 GROUP BY KEYS)"""
+
+
+@query(f"SELECT pop1, pop2, pop3, pop4, {_r('est', 'se', 'est / se AS z')} FROM rj", f"{CTE}, {_C4}, xy AS (SELECT *, est AS x, den AS y FROM ({_geno4()}))" + _RATIO.replace("KEYS", "pop1, pop2, pop3, pop4"))
+def d_statistic(spark, d):
+    b = _g4(spark, d, True)
+    return R.with_z(R.ratio(b.select(*_K4, "block", "est", "n"), b.select(*_K4, "block", F.col("den").alias("est")), _K4))
+
+
+_FIVE = [("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"), ("EUROPE", "ASIA", "AFRICA", "MIDDLE EAST", "AMERICA"), ("ASIA", "AFRICA", "EUROPE", "AMERICA", "MIDDLE EAST")]
+_F5 = "c5 AS (SELECT * FROM (VALUES " + ", ".join(str(x) for x in _FIVE) + ") t(pop1, pop2, pop3, pop4, pop5))"
+
+
+def _f4of(a, b, c, e, name):
+    return f"""(SELECT c5.*, p.b, p.n, (p.e + q.e - r.e - s.e) / 2 AS {name} FROM c5 JOIN sy p ON p.x = {a} AND p.y = {e} JOIN sy q ON q.x = {b} AND q.y = {c} AND q.b = p.b JOIN sy r ON r.x = {a} AND r.y = {c} AND r.b = p.b JOIN sy s ON s.x = {b} AND s.y = {e} AND s.b = p.b)"""
+
+
+_K5 = [f"pop{i}" for i in range(1, 6)]
+
+
+def _quints(spark, d):
+    f2 = stat(spark, d, "f2")
+    c = S.combs_table(f2, _FIVE)
+
+    def part(a, b, x, y):
+        return S.combine(f2, c, [(a, y, 0.5), (b, x, 0.5), (a, x, -0.5), (b, y, -0.5)]).withColumnRenamed("n_snps", "n")
+
+    return part
+
+
+@query(f"SELECT pop1, pop2, pop3, pop4, pop5, {_r('est AS alpha', 'se', 'est / se AS z')} FROM rj",
+       f"{CTE}, {_SYM}, {_F5}, xy AS (SELECT i.*, j.y FROM {_f4of('pop1', 'pop2', 'pop3', 'pop4', 'x')} i JOIN {_f4of('pop1', 'pop2', 'pop3', 'pop5', 'y')} j USING (pop1, pop2, pop3, pop4, pop5, b))" + _RATIO.replace("KEYS", "pop1, pop2, pop3, pop4, pop5"))
+def f4_ratio(spark, d):
+    part = _quints(spark, d)
+    return R.with_z(R.ratio(part("pop1", "pop2", "pop3", "pop4"), part("pop1", "pop2", "pop3", "pop5"), _K5)).withColumnRenamed("est", "alpha")
+
+
+@query(f"SELECT pop1, pop2, pop3, pop4, pop5, {_r('est AS f4diff', 'se', 'est / se AS z')} FROM jk",
+       f"{CTE}, {_SYM}, {_F5}" + _jack(f"SELECT pop1, pop2, pop3, pop4, pop5, b, i.x - j.y AS est, i.n FROM {_f4of('pop1', 'pop2', 'pop3', 'pop4', 'x')} i JOIN {_f4of('pop1', 'pop2', 'pop5', 'pop4', 'y')} j USING (pop1, pop2, pop3, pop4, pop5, b)", "pop1, pop2, pop3, pop4, pop5"))
+def f4_difference(spark, d):
+    part = _quints(spark, d)
+    y = part("pop1", "pop2", "pop5", "pop4").select(*_K5, "block", F.col("est").alias("y"))
+    x = part("pop1", "pop2", "pop3", "pop4").join(y, [*_K5, "block"]).withColumn("est", F.col("est") - F.col("y"))
+    return R.with_z(R.jackknife(R.est_to_loo(x, _K5), _K5)).withColumnRenamed("est", "f4diff")
+
+
+_G3 = """SELECT bl.b, pop1, pop2, pop3, avg((x.p - y.p) * (x.p - z.p) - x.p * (1 - x.p) / (x.n - 1)) AS est, avg(2 * x.p * (1 - x.p) * x.n / (x.n - 1)) AS den, count(*) AS n
+FROM c3 JOIN af x ON x.pop = pop1 JOIN af y ON y.pop = pop2 AND y.v = x.v JOIN af z ON z.pop = pop3 AND z.v = x.v JOIN bl ON bl.v = x.v GROUP BY bl.b, pop1, pop2, pop3"""
+
+
+@query(f"SELECT b AS block, pop1, pop2, pop3, {_r('est', 'den')}, n FROM t0", f"{CTE}, {_C3}" + _jack(_G3, "pop1, pop2, pop3"))
+def f3_genotype_blocks(spark, d):
+    af = af_of(spark, d)
+    return S.f3_geno_blocks(af, blocks_of(spark, d), S.combs_table(af, S.popcombs(POPS, 3)))
+
+
+@query(f"SELECT pop1, pop2, pop3, {_r('est', 'se', 'est / se AS z')} FROM rj", f"{CTE}, {_C3}, xy AS (SELECT *, est AS x, den AS y FROM ({_G3}))" + _RATIO.replace("KEYS", "pop1, pop2, pop3"))
+def f3_normalised(spark, d):
+    af = af_of(spark, d)
+    b = S.f3_geno_blocks(af, blocks_of(spark, d), S.combs_table(af, S.popcombs(POPS, 3)))
+    return R.with_z(R.ratio(b.select(*_K3, "block", "est", "n"), b.select(*_K3, "block", F.col("den").alias("est")), _K3))
+
+
+_MEAN2 = "m2 AS (SELECT pop1, pop2, sum(f2 * n_snps) / sum(n_snps) AS est FROM pb JOIN bn ON bn.b = pb.b WHERE pop1 < pop2 GROUP BY pop1, pop2), ms AS (SELECT pop1 AS x, pop2 AS y, est AS e FROM m2 UNION ALL SELECT pop2, pop1, est FROM m2)"
+_F4DAT = "fd AS (SELECT pop1, pop2, pop3, pop4, (p.e + q.e - r.e - s.e) / 2 AS est FROM c4 JOIN ms p ON p.x = pop1 AND p.y = pop4 JOIN ms q ON q.x = pop2 AND q.y = pop3 JOIN ms r ON r.x = pop1 AND r.y = pop3 JOIN ms s ON s.x = pop2 AND s.y = pop4)"
+
+
+def _f2dat(spark, d):
+    x = stat(spark, d, "f2").where("pop1 < pop2")
+    return x.groupBy("pop1", "pop2").agg((F.sum(F.col("est") * F.col("n_snps")) / F.sum("n_snps")).alias("est"))
+
+
+@query(f"SELECT pop1, pop2, pop3, pop4, {_r('est')} FROM fd", f"{CTE}, {_C4}, {_MEAN2}, {_F4DAT}")
+def f2dat_f4dat(spark, d):
+    x = _f2dat(spark, d)
+    return S.f2dat_f4dat(x, S.combs_table(x, S.popcombs(POPS, 4)))
+
+
+@query("""SELECT DISTINCT CASE WHEN k & 4 > 0 THEN CASE WHEN k & 1 > 0 THEN pop4 ELSE pop3 END ELSE CASE WHEN k & 1 > 0 THEN pop2 ELSE pop1 END END AS pop1,
+CASE WHEN k & 4 > 0 THEN CASE WHEN k & 1 > 0 THEN pop3 ELSE pop4 END ELSE CASE WHEN k & 1 > 0 THEN pop1 ELSE pop2 END END AS pop2,
+CASE WHEN k & 4 > 0 THEN CASE WHEN k & 2 > 0 THEN pop2 ELSE pop1 END ELSE CASE WHEN k & 2 > 0 THEN pop4 ELSE pop3 END END AS pop3,
+CASE WHEN k & 4 > 0 THEN CASE WHEN k & 2 > 0 THEN pop1 ELSE pop2 END ELSE CASE WHEN k & 2 > 0 THEN pop3 ELSE pop4 END END AS pop4,
+round(est * CASE WHEN (k & 1 > 0) <> (k & 2 > 0) THEN -1 ELSE 1 END, 9) AS est FROM fd CROSS JOIN (SELECT unnest(range(8)) AS k)""", f"{CTE}, {_C4}, {_MEAN2}, {_F4DAT}")
+def complete_f4dat(spark, d):
+    x = _f2dat(spark, d)
+    return S.complete_f4dat(S.f2dat_f4dat(x, S.combs_table(x, S.popcombs(POPS, 4))))
+
+
+@query("SELECT b AS block, pop1, pop2, pop3, pop4, n, round((" + " + ".join(f"sum(est * sqrt(n)) OVER (PARTITION BY b, {a}, {c}) / sum(sqrt(n)) OVER (PARTITION BY b, {a}, {c})" for a, c in (("pop1", "pop3"), ("pop1", "pop4"), ("pop2", "pop3"), ("pop2", "pop4"))) + ") / 4, 9) AS est FROM t0", f"{CTE}, {_C4}" + _jack(_geno4(), "pop1, pop2, pop3, pop4"))
+def average_f4blocks(spark, d):
+    return S.average_f4blockdat(_g4(spark, d, True)).select("block", *_K4, "n", "est")
+
+
+@query("SELECT a.pop AS pop1, b.pop AS pop2, c.pop AS pop3, 'x' AS pop4, round(avg((a.p - b.p) * (c.p - a.p)), 9) AS est, count(*) AS n FROM af a JOIN af b ON a.v = b.v JOIN af c ON a.v = c.v WHERE a.pop = 'AFRICA' AND b.pop = 'ASIA' AND c.pop = 'EUROPE' GROUP BY 1, 2, 3".replace("'x' AS", "a.pop AS"))
+def f4_from_afdat(spark, d):
+    wide = af_of(spark, d).groupBy("variant_idx").pivot("pop", POPS).agg(F.first("p"))
+    return S.f4_from_afdat(wide, [("AFRICA", "ASIA", "EUROPE", "AFRICA")])
+
+
+# --- spectra
+
+_SP = "sp AS (SELECT x.v, x.p AS a, y.p AS b, z.p AS c FROM af x JOIN af y ON x.v = y.v JOIN af z ON x.v = z.v WHERE x.pop = 'AFRICA' AND y.pop = 'ASIA' AND z.pop = 'EUROPE')"
+
+
+@query("SELECT k AS pattern, round(avg(x), 9) AS proportion, round(sum(x), 9) AS total FROM (SELECT i || '' || j || '' || l AS k, (CASE WHEN i = 1 THEN a ELSE 1 - a END) * (CASE WHEN j = 1 THEN b ELSE 1 - b END) * (CASE WHEN l = 1 THEN c ELSE 1 - c END) AS x FROM sp CROSS JOIN (VALUES (0), (1)) t(i) CROSS JOIN (VALUES (0), (1)) u(j) CROSS JOIN (VALUES (0), (1)) w(l)) GROUP BY k", f"{CTE}, {_SP}")
+def joint_spectrum(spark, d):
+    return S.joint_spectrum(af_of(spark, d), ["AFRICA", "ASIA", "EUROPE"])
+
+
+_SFS = """ct AS (SELECT x.v, least(4, CAST(round(x.p * 4) AS INT)) AS a, least(4, CAST(round(y.p * 4) AS INT)) AS b FROM af x JOIN af y ON x.v = y.v WHERE x.pop = 'AFRICA' AND y.pop = 'ASIA'),
+sf AS (SELECT i AS a, j AS b, count(ct.v) AS n FROM (SELECT unnest(range(5)) AS i) CROSS JOIN (SELECT unnest(range(5)) AS j) LEFT JOIN ct ON ct.a = i AND ct.b = j GROUP BY i, j)"""
+
+
+def _sfs(spark, d):
+    wide = af_of(spark, d).groupBy("variant_idx").pivot("pop", ["AFRICA", "ASIA"]).agg(F.first("p")).dropna()
+    four = lambda c: F.least(F.lit(4), F.round(F.col(c) * 4).cast("int"))
+    return S.joint_sfs(wide.select(four("AFRICA").alias("a"), four("ASIA").alias("b")), {"a": 4, "b": 4})
+
+
+@query("SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, n FROM sf", f"{CTE}, {_SFS}")
+def joint_sfs(spark, d):
+    return _sfs(spark, d)
+
+
+@query("""SELECT 'a' AS pop1, 'b' AS pop2, round(sum(n * x) / sum(n), 9) AS f2, round(sum(n * x) / sum(n * (x + h)), 9) AS fst FROM (
+SELECT n, power(a / 4e0 - b / 4e0, 2) - a / 4e0 * (1 - a / 4e0) / 3 - b / 4e0 * (1 - b / 4e0) / 3 AS x, a / 4e0 * (1 - a / 4e0) * 4 / 3 + b / 4e0 * (1 - b / 4e0) * 4 / 3 AS h FROM sf)""", f"{CTE}, {_SFS}")
+def sfs_to_f2(spark, d):
+    return S.sfs_to_f2(_sfs(spark, d), {"a": 4, "b": 4})
+
+
+# --- individuals
+
+_I2 = _IND + ", ib AS (SELECT gi.*, bl.b FROM gi JOIN bl ON bl.v = gi.v)"
+
+
+@query("SELECT s AS sample_id, b AS block, round((avg(g) + avg(2 - g)) / 2, 9) AS a, 2e0 AS n FROM ib GROUP BY s, b", CTE + _I2)
+def individual_counts(spark, d):
+    return S.individual_blocks(individuals(geno(spark, d)), blocks_of(spark, d))
+
+
+_PAIR = ", ip AS (SELECT x.s AS s1, y.s AS s2, x.b, avg((x.g * y.g + (2 - x.g) * (2 - y.g)) / 2e0) AS aa, count(*) AS k FROM ib x JOIN ib y ON x.v = y.v AND x.s <= y.s GROUP BY x.s, y.s, x.b)"
+
+
+@query("SELECT s1, s2, b AS block, round(aa, 9) AS aa, 4e0 AS nn, k FROM ip", CTE + _I2 + _PAIR)
+def individual_pair_counts(spark, d):
+    return S.individual_pairs(individuals(geno(spark, d)), blocks_of(spark, d))
+
+
+@query("""SELECT b AS block, p AS pop1, q AS pop2, round(w1.phi + w2.phi - 2 * ph.phi, 9) AS est FROM ph JOIN (SELECT b, p AS o, phi FROM ph WHERE p = q) w1 USING (b) JOIN (SELECT b, p AS o, phi FROM ph WHERE p = q) w2 USING (b) WHERE p < q AND w1.o = p AND w2.o = q""",
+       CTE + _I2 + _PAIR + """, sm AS (SELECT DISTINCT s, pop FROM gi), ph AS (SELECT b, least(m.pop, n.pop) AS p, greatest(m.pop, n.pop) AS q, sum(aa * k) / sum(4e0 * k) AS phi FROM ip JOIN sm m ON m.s = s1 JOIN sm n ON n.s = s2 WHERE s1 <> s2 GROUP BY 1, 2, 3)""")
+def f2_from_individuals(spark, d):
+    g = individuals(geno(spark, d))
+    p = S.individual_pairs(g, blocks_of(spark, d))
+    return S.f2_from_individuals(p, g.select("sample_id", "pop").distinct())
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
