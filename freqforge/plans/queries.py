@@ -521,8 +521,11 @@ def f2_from_individuals(spark, d):
 
 
 def queries():
+    from . import model_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql():
+    queries()
     return dict(SQL)
