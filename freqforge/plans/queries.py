@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from ..operators import af as A
 from ..operators import blocks as B
 from ..operators import fstats as S
@@ -27,7 +28,11 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 def query(sql: str | None = None, ctes: str = CTE):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        def run(spark, sf_dir):
+            ship(spark)
+            return rounded(f(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = (f"WITH RECURSIVE {ctes}\n" if ctes else "") + sql.replace(", 9) AS", ", 9) + 0e0 AS")  # no negative zero
         return f
