@@ -39,8 +39,8 @@ from .graph import components
 WORDS = 5
 PERCENT = 75
 BITS = 48
-FLUSH = 2_000_000
-FRAGMENT = 4_000_000
+FLUSH = 1_000_000
+FRAGMENT = 1_500_000
 MIN_FRAGMENTS = 24
 HOT = 64
 SMALL = 8
@@ -177,17 +177,33 @@ def _map(fragments: int, homes: int):
 def _fragment(homes: int):
     def run(table_: pa.Table) -> pa.Table:
         rows, hs, ks, marks = [], [], [], []
-        for kind, a, b, c, d in zip(*(table_.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d"))):
+        for i in range(table_.num_rows):  # row by row: a list of all would hold each block twice
+            kind, a, b, c, d = (table_.column(x)[i].as_py() for x in ("kind", "a", "b", "c", "d"))
             if kind != _SHARED:
                 rows.append((int.from_bytes(a, "little"), kind, b"", b, c, d))
                 continue
             n1, n2 = int.from_bytes(b[:4], "little"), int.from_bytes(b[4:8], "little")
-            low, mid, high = (_unzip(x, "<u2").astype(_U) for x in (b[8 : 8 + n1], b[8 + n1 : 8 + n1 + n2], b[8 + n1 + n2 :]))
-            hs.append(np.cumsum(low | mid << _U(16) | high << _U(32), dtype=_U))
+            h = _unzip(b[8 + n1 + n2 :], "<u2").astype(_U)
+            for plane in (b[8 + n1 : 8 + n1 + n2], b[8 : 8 + n1]):
+                h <<= _U(16)
+                h |= _unzip(plane, "<u2")
+            hs.append(np.cumsum(h, dtype=_U, out=h))
             ks.append(_unzip(a, "<u8")[_unzip(c[1:], "<u4" if c[:1] == b"\1" else "<u2")])
             marks.append(_unzip(d, "<u8"))
         if hs:
             h, k = np.concatenate(hs), np.concatenate(ks)
+            hs.clear()
+            ks.clear()
+            o = np.argsort(h)
+            h, k = h[o], k[o]
+            del o
+            # n-grams of one holder are dropped before the holders are put in order
+            more = np.zeros(len(h), bool)
+            more[1:] = h[1:] == h[:-1]
+            more[:-1] |= more[1:]
+            more |= np.isin(h, np.concatenate(marks))
+            h, k = h[more], k[more]
+            del more
             o = np.lexsort((k, h))
             h, k = h[o], k[o]
             if len(h):
