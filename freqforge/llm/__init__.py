@@ -4,7 +4,6 @@
 folder is there.
 """
 from importlib import import_module
-from importlib.util import find_spec
 
 #: module of each registered query, in the order of the operators
 MODULES = {
@@ -22,7 +21,7 @@ MODULES = {
 
 
 def queries():
-    out = {name: import_module(f"{__name__}.{mod}").query for name, mod in MODULES.items() if find_spec(f"{__name__}.{mod}")}
+    out = {name: import_module(f"{__name__}.{mod}").query for name, mod in MODULES.items()}
     import corpus_pipeline
 
     return out | {"pipeline": corpus_pipeline.run}
@@ -31,8 +30,6 @@ def queries():
 def oracle_sql():
     out = {}
     for name, mod in MODULES.items():
-        if not find_spec(f"{__name__}.{mod}"):
-            continue
         sql = getattr(import_module(f"{__name__}.{mod}"), "ORACLE_SQL", None)
         if sql:
             out[name] = sql

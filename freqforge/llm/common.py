@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 #: ASCII white space, as a Java or DuckDB character class body.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,6 +17,7 @@ _OWN_DIR: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -40,6 +43,7 @@ def table(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, and any
     executor can be lost afterwards. The files go when the session ends."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/freqforge/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -33,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import read, table
 from .graph import components
 
@@ -269,6 +270,7 @@ def _home(table_: pa.Table) -> pa.Table:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A table of documents (grams null) and of the classes that may have partners."""
+    ship(docs.sparkSession)
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(MIN_FRAGMENTS, math.ceil(size / BYTES_A_WORD / FRAGMENT))

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import read, table
 
 CAPACITY = 2048
@@ -107,6 +108,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: bytes, *, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, with keep_ids, ids as little-endian bytes."""
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(tokenizer)  # a file of fixed size
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * keep_ids

@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.ship import ship
 from .common import read
 from .zdict import add_columns
 
@@ -222,6 +223,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with secrets replaced by the name of their kind in brackets, and n_chars to match;
     the columns stay as they are."""
+    ship(docs.sparkSession)
     columns = docs.columns
     at = columns.index(text)
     count = columns.index(n_chars) if n_chars in columns else None

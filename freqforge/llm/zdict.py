@@ -6,6 +6,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 LEVEL = 3
 BLOCK = 2048  # bytes; a long text is compressed block by block, so the dictionary counts throughout
 
@@ -39,6 +41,7 @@ def id_order(doc_id: Column) -> Column:
 def add_columns(docs: DataFrame, text: str, schema: str, fields: list[pa.DataType], make) -> DataFrame:
     """docs with columns added: make() gives, on the executor, a function from a text or None to
     their values. A column of the same name in docs gives way."""
+    ship(docs.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
     kept = docs.drop(*names)
     full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + schema
