@@ -4,10 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import graph as G
+from ..operators import edges as X
 from ..operators import fstats as S
 from ..operators import graphfit as T
 from ..operators import models as M
-from .queries import POPS, query, stat
+from .queries import POPS, af_of, query, stat
 
 A, B, C, D, E = POPS
 GRAPH = G.Graph([("R", A), ("R", "u"), ("u", "v"), ("u", "w"), ("v", B), ("w", C), ("v", "m"), ("w", "m"), ("m", D), ("w", "x"), ("x", E)])
@@ -168,3 +169,61 @@ def graph_pcs(spark, d):
 def graph_to_qpadm(spark, d):
     rows = [(m["target"], m["l"], m["r"], m["rank1"], m["rank2"], m["valid"]) for m in G.graph_to_qpadm(G.simplify(GRAPH), D)]
     return spark.createDataFrame(rows, "target string, l array<string>, r array<string>, rank1 int, rank2 int, valid boolean")
+
+
+# --- edge tables
+
+def _edges(spark):
+    g = G.simplify(GRAPH)
+    rows = [(0, a, b, "admix" if len(g.up[b]) > 1 else "normal", 0.0 if k % 4 == 0 else 0.01 * k) for k, (a, b) in enumerate(g.edges)]
+    rows += [(1, a, b, "normal", 0.02 * k) for k, (a, b) in enumerate(TREE.edges)]
+    return spark.createDataFrame(rows, "graph_id long, from string, to string, type string, weight double")
+
+
+def _edge_values() -> str:
+    g = G.simplify(GRAPH)
+    rows = [(0, a, b, "admix" if len(g.up[b]) > 1 else "normal", 0.0 if k % 4 == 0 else 0.01 * k) for k, (a, b) in enumerate(g.edges)]
+    rows += [(1, a, b, "normal", 0.02 * k) for k, (a, b) in enumerate(TREE.edges)]
+    return "ed(i, f, t, ty, w) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{a}', '{b}', '{ty}', CAST({w} AS DOUBLE))" for i, a, b, ty, w in rows) + ")"
+
+
+@query("SELECT i AS graph_id, n AS node, CAST(sum(a) AS BIGINT) AS indegree, CAST(sum(b) AS BIGINT) AS outdegree FROM (SELECT i, f AS n, 0 AS a, 1 AS b FROM ed UNION ALL SELECT i, t, 1, 0 FROM ed) GROUP BY i, n", _edge_values())
+def edge_degrees(spark, d):
+    return X.degrees(_edges(spark))
+
+
+@query('SELECT i AS graph_id, f AS "from", t AS "to", CASE WHEN count(*) OVER (PARTITION BY i, t) = 2 THEN \'admix\' ELSE \'normal\' END AS type FROM ed', _edge_values())
+def edge_classes(spark, d):
+    return X.with_class(_edges(spark)).drop("weight")
+
+
+@query("SELECT i AS graph_id, a AS node, t AS below FROM cl", _edge_values() + ", cl(i, a, t) AS (SELECT i, f, t FROM ed UNION SELECT cl.i, cl.a, ed.t FROM cl JOIN ed ON ed.i = cl.i AND ed.f = cl.t)")
+def edge_closure(spark, d):
+    return X.closure(_edges(spark))
+
+
+@query("SELECT i AS graph_id, count(*) FILTER (w < 1e-6) AS zero_edges FROM ed WHERE ty <> 'admix' GROUP BY i", _edge_values())
+def edge_zero_counts(spark, d):
+    return X.count_zero_edges(_edges(spark))
+
+
+@query("""SELECT e.i AS graph_id, coalesce(u.b, e.t) AS below, round(sum(w), 9) AS drift FROM ed e LEFT JOIN (SELECT i, a, string_agg(t, ',' ORDER BY t) AS b FROM cl WHERE NOT EXISTS (SELECT 1 FROM ed x WHERE x.i = cl.i AND x.f = cl.t) GROUP BY i, a) u ON u.i = e.i AND u.a = e.t
+WHERE ty <> 'admix' GROUP BY 1, 2""", _edge_values() + ", cl(i, a, t) AS (SELECT i, f, t FROM ed UNION SELECT cl.i, cl.a, ed.t FROM cl JOIN ed ON ed.i = cl.i AND ed.f = cl.t)")
+def edge_drift_partition(spark, d):
+    leaves = T.summaries(T.graphs_table(spark, [G.simplify(GRAPH), TREE]), "descendants")
+    return X.drift_partition(_edges(spark), leaves)
+
+
+@query("""SELECT name, coalesce(substr(name, 1, CAST(min(k) FILTER (c = 1) AS INT)), name) AS prefix FROM (SELECT n_name AS name, k, count(*) OVER (PARTITION BY substr(n_name, 1, CAST(k AS INT))) AS c FROM (SELECT n_name, unnest(range(1, length(n_name) + 1)) AS k FROM nation)) GROUP BY name""", "")
+def shortest_unique_prefixes(spark, d):
+    return X.shortest_unique_prefixes(spark.read.parquet(f"{d}/nation.parquet"), "n_name")
+
+
+@query("SELECT pop, round(sum(p * n) / sum(n), 9) AS mean FROM af GROUP BY pop")
+def weighted_means(spark, d):
+    return X.weighted_means(af_of(spark, d), ["pop"], "p", "n")
+
+
+@query("SELECT pop1, pop2, round(avg(f2), 9) AS mean, round(stddev_samp(f2), 9) AS se, round(quantile_cont(f2, 0.025), 9) AS low, round(quantile_cont(f2, 0.975), 9) AS high FROM pb WHERE pop1 < pop2 GROUP BY pop1, pop2")
+def confidence_intervals(spark, d):
+    return X.confints(_f2(spark, d).where("pop1 < pop2"), ["pop1", "pop2"], "est")

@@ -122,3 +122,19 @@ def test_parsers():
 def test_json(spark):
     df = spark.createDataFrame([(1, float("nan"))], "a int, b double")
     assert json.loads(formats.result_to_json(df, "f4", {"x": 1})) == {"schema_version": 1, "function": "f4", "args": {"x": 1}, "result": [{"a": 1, "b": None}]}
+
+
+def test_from_files_to_a_cache(spark, files, tmp_path):
+    from freqforge.operators import pipelines as P
+
+    d, g = files
+    made = P.extract_f2(spark, str(d / "b"), f"file://{tmp_path}/c", pops=["p", "q"], maxmiss=1, blgsize=0.05)
+    assert made.startswith("sha256:")
+    f2 = P.f2_from_geno(spark, str(d / "k"), pops=["p", "q"], maxmiss=1, blgsize=0.05).cache()
+    a = {(r["block"], r["pop1"], r["pop2"]): r["est"] for r in f2.collect()}
+    b = {(r["block"], r["pop1"], r["pop2"]): r["est"] for r in cache.read_f2(spark, f"file://{tmp_path}/c").collect()}
+    assert a == pytest.approx(b, nan_ok=True) and len({k[0] for k in a}) >= 3
+    mean = lambda f: f.where("pop1 < pop2").groupBy("pop1", "pop2").avg("est").withColumnRenamed("avg(est)", "est")
+    assert P.resample_snps(f2, mean).count() == len({k[0] for k in a}) and P.resample_snps(f2, mean, nboot=3).count() == 3
+    t = P.random_dates([("R", "a"), ("a", "X"), ("a", "Y"), ("R", "Z")])
+    assert t["R"] > t["a"] > t["X"] == 0
