@@ -40,8 +40,9 @@ from .graph import components
 WORDS = 5
 PERCENT = 75
 BITS = 48
-FLUSH = 1_000_000
+FLUSH = 500_000
 FRAGMENT = 1_500_000
+WORDS_KEPT = 150_000
 MIN_FRAGMENTS = 24
 HOT = 64
 SMALL = 8
@@ -68,7 +69,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters, ASCII white space
     if not w:
         return np.zeros(0, _U)
-    if len(_words) > 500_000:
+    if len(_words) > WORDS_KEPT:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, w), _U, len(w))
     k = min(words, len(w))
