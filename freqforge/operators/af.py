@@ -20,18 +20,20 @@ def nan_to_null(c: Column) -> Column:
 
 
 def allele_frequencies(geno: DataFrame, ploidy: DataFrame | None = None) -> DataFrame:
-    """af of diploid samples or, with ploidy (sample_id, ploidy), of samples that are counted as haploid."""
+    """af of diploid samples or, with ploidy (sample_id, ploidy), of samples that are counted as haploid;
+    samples that ploidy doesn't name are haploid."""
     if ploidy is None:
         return geno.groupBy("variant_idx", "pop").agg((F.avg("dosage") / 2).alias("p"), (2 * F.count("dosage")).cast("double").alias("n"))
-    g = geno.join(ploidy, "sample_id").where("dosage IS NOT NULL")
+    g = geno.join(ploidy, "sample_id", "left").withColumn("ploidy", F.coalesce("ploidy", F.lit(1))).where("dosage IS NOT NULL")
     alleles = F.sum("ploidy").cast("double")
     return g.groupBy("variant_idx", "pop").agg((F.sum(F.col("dosage") / (3 - F.col("ploidy"))) / alleles).alias("p"), alleles.alias("n"))
 
 
 def sample_ploidy(geno: DataFrame, ntest: int = 1000) -> DataFrame:
-    """A sample without a heterozygote among the first ntest variants is haploid."""
-    first = geno.select("variant_idx").distinct().orderBy("variant_idx").limit(ntest)
-    return geno.join(first, "variant_idx", "left_semi").groupBy("sample_id").agg((1 + F.coalesce(F.max((F.col("dosage") == 1).cast("int")), F.lit(0))).alias("ploidy"))
+    """A sample without a heterozygote among the first ntest variants is haploid, one that isn't seen there too."""
+    first = geno.select("variant_idx").distinct().orderBy("variant_idx").limit(ntest).withColumn("tested", F.lit(True))
+    het = F.col("tested") & (F.col("dosage") == 1)
+    return geno.join(first, "variant_idx", "left").groupBy("sample_id").agg((1 + F.coalesce(F.max(het.cast("int")), F.lit(0))).alias("ploidy"))
 
 
 def halve_pseudohaploid(geno: DataFrame) -> DataFrame:

@@ -107,14 +107,14 @@ def discard_from_geno(spark, d):
 @query("""SELECT s AS sample_id, CAST(1 + coalesce(max(CAST(g = 1 AS INT)), 0) AS INT) AS ploidy FROM gi
 WHERE v IN (SELECT DISTINCT v FROM gi ORDER BY v LIMIT 3) GROUP BY s""", CTE + _IND)
 def sample_ploidy(spark, d):
-    return A.sample_ploidy(individuals(geno(spark, d)), 3)
+    return A.sample_ploidy(individuals(geno(spark, d)))
 
 
 @query(f"""SELECT gi.v AS variant_idx, pop, round(sum(g / (3e0 - ploidy)) / sum(ploidy), 9) AS p, CAST(sum(ploidy) AS DOUBLE) AS n FROM gi
 JOIN (SELECT s, 1 + coalesce(max(CAST(g = 1 AS INT)), 0) AS ploidy FROM gi WHERE v IN (SELECT DISTINCT v FROM gi ORDER BY v LIMIT 3) GROUP BY s) q ON q.s = gi.s GROUP BY gi.v, pop""", CTE + _IND)
 def pseudohaploid_frequencies(spark, d):
     g = individuals(geno(spark, d))
-    return A.allele_frequencies(g, A.sample_ploidy(g, 3))
+    return A.allele_frequencies(g, A.sample_ploidy(g))
 
 
 @query("""SELECT v AS variant_idx, s AS sample_id, pop, CASE WHEN g = 1 THEN CASE WHEN substr(md5('7:' || v || ':' || s), 1, 1) < '8' THEN 0 ELSE 2 END ELSE g END AS dosage FROM gi""", CTE + _IND)
