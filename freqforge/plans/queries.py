@@ -149,14 +149,12 @@ gb AS (SELECT w.v, CAST(max(b) AS INT) AS b FROM w JOIN sn ON sn.chr = w.chr AND
 
 @query("SELECT v AS variant_idx, b AS block FROM gb", CTE + _IRREG)
 def greedy_blocks(spark, d):
-    v = variants(spark, d).where("variant_idx % 7 <> 0 AND variant_idx % 5 <> 1")
-    return B.assign_blocks(v, 13.0, "cm").select("variant_idx", "block")
+    return B.assign_blocks(variants(spark, d), 13.0, "cm").select("variant_idx", "block")
 
 
 @query("SELECT b AS block, count(*) AS n_snps FROM gb GROUP BY b", CTE + _IRREG)
 def block_lengths(spark, d):
-    v = variants(spark, d).where("variant_idx % 7 <> 0 AND variant_idx % 5 <> 1")
-    return B.block_lengths(B.assign_blocks(v, 13.0, "cm"))
+    return B.block_lengths(B.assign_blocks(variants(spark, d), 13.0, "cm"))
 
 
 @query("SELECT sum(n_snps) AS n_snps FROM (SELECT CAST(n_snps AS BIGINT) AS n_snps FROM bn)".replace("sum(n_snps) AS", "CAST(sum(n_snps) AS BIGINT) AS"))

@@ -1,7 +1,8 @@
 """Registered queries and operators on everything they are given."""
 from freqforge.operators import af as A
+from freqforge.operators import blocks as B
 from freqforge.plans import queries as Q
-from freqforge.plans.observations import geno
+from freqforge.plans.observations import geno, variants
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,3 +31,27 @@ def test_registered_ploidy_is_of_all_samples(spark):
     got = Q.queries()["pseudohaploid_frequencies"](spark, SF).toPandas().set_index(["variant_idx", "pop"]).sort_index()
     assert len(got) == len(s) and got["n"].tolist() == s["ploidy"].astype(float).tolist()
     assert ((got["p"] - s["a"] / s["ploidy"]).abs() < 1e-8).all()
+
+
+def folded(vs, size):
+    """(variant, chr, cm) in order -> block of each variant."""
+    out, k, at = {}, 0, None
+    for v, chrom, cm in vs:
+        if at is None or at[0] != chrom or cm - at[1] >= size:
+            k, at = k + 1, (chrom, cm)
+        out[v] = k
+    return out
+
+
+def test_every_variant_has_a_block(spark):
+    vs = [tuple(r) for r in variants(spark, SF).select("variant_idx", "chr", "cm").orderBy("variant_idx").collect()]
+    want = folded(vs, 13.0)
+    assert dict(map(tuple, Q.queries()["greedy_blocks"](spark, SF).collect())) == want
+    sizes = {b: sum(x == b for x in want.values()) for b in set(want.values())}
+    assert dict(map(tuple, Q.queries()["block_lengths"](spark, SF).collect())) == sizes
+
+
+def test_blocks_over_irregular_gaps(spark):
+    vs = [(i, str(1 + i // 100), float(i % 100)) for i in range(300) if i % 7 != 0 and i % 5 != 1]
+    df = spark.createDataFrame(vs, "variant_idx long, chr string, cm double")
+    assert dict(map(tuple, B.assign_blocks(df, 13.0, "cm").select("variant_idx", "block").collect())) == folded(vs, 13.0)
