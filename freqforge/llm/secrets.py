@@ -8,7 +8,9 @@ through again, so cycles end. Each character of a layer knows the span of the or
 text it came from, and so does each finding.
 
 Compressed contents (gzip, zlib, bzip2, xz, zstandard; inside base64) map to the whole token and
-are unwrapped up to MAX_LAYER bytes, a guard against archives that unpack without end.
+are unwrapped to their end, through all members and levels. Contents of more than PIECE bytes are
+never held whole: they are scanned as a stream in pieces that overlap by OVERLAP characters, and
+base64 that is longer than the overlap is decoded as a stream of its own.
 
 Cases: null and empty texts have no spans; texts are scanned whole, however long; equal rows get
 equal results; an empty table gives no rows; other columns go along, ones named like an output
@@ -18,7 +20,10 @@ from __future__ import annotations
 
 import binascii
 import bz2
+import codecs
+import gzip
 import hashlib
+import io
 import lzma
 import re
 import zlib
@@ -31,7 +36,9 @@ from ..functions.ship import ship
 from .common import read
 from .zdict import add_columns
 
-MAX_LAYER = 16 << 20
+PIECE = 16 << 20
+OVERLAP = 1 << 20
+STEP = 1 << 18
 MIN_TOKEN = 16
 
 # The kinds in order, their patterns and least lengths.
@@ -47,6 +54,9 @@ _HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])  # runs are maximal, so short
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+_IN_RUN = re.compile(r"[A-Za-z0-9+/_\r\n-]*")
+_SPACES = re.compile(r"\x20{65,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN)
 
 
@@ -63,16 +73,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text; spans[i] is where its character i came from, None for the original itself."""
+    """A text; spans[i] is where its character i came from, None for the original itself; a tuple is
+    where all of it came from."""
 
     __slots__ = ("text", "spans")
 
-    def __init__(self, text: str, spans: list[tuple[int, int]] | None) -> None:
+    def __init__(self, text: str, spans: list[tuple[int, int]] | tuple[int, int] | None) -> None:
         self.text, self.spans = text, spans
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.spans is None:
             return start, end
+        if isinstance(self.spans, tuple):
+            return self.spans
         part = self.spans[start:end]
         return min(s for s, _ in part), max(e for _, e in part)
 
@@ -97,7 +110,8 @@ def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
     def keep(a: int, b: int) -> None:
         text.append(layer.text[a:b])
-        spans.extend(layer.spans[a:b] if layer.spans is not None else ((i, i + 1) for i in range(a, b)))
+        if not isinstance(layer.spans, tuple):
+            spans.extend(layer.spans[a:b] if layer.spans is not None else ((i, i + 1) for i in range(a, b)))
 
     for m in pattern.finditer(layer.text):
         got = decode(m)
@@ -111,7 +125,7 @@ def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     if not changed:
         return None
     keep(done, len(layer.text))
-    return Layer("".join(text), spans)
+    return Layer("".join(text), layer.spans if isinstance(layer.spans, tuple) else spans)
 
 
 def _url(m: re.Match):
@@ -131,23 +145,159 @@ def _unicode(m: re.Match):
     return [(chr(code), m.start(), m.end())]
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """Contents of a compressed blob, MAX_LAYER bytes at most; None if it isn't one."""
+class _Chunks(io.RawIOBase):
+    """Pieces of bytes as a file."""
+
+    def __init__(self, chunks) -> None:
+        self.chunks, self.rest = iter(chunks), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.rest:
+            self.rest = next(self.chunks, None)
+            if self.rest is None:
+                self.rest = b""
+                return 0
+        n = min(len(into), len(self.rest))
+        into[:n] = self.rest[:n]
+        self.rest = self.rest[n:]
+        return n
+
+
+_BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
+
+
+def _packed(raw: bytes) -> bool:
+    zlib_head = raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0
+    return zlib_head or raw.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd"))
+
+
+def _inflate(chunks):
+    """Contents of compressed bytes in pieces of about STEP, all members and frames of them; what
+    comes before a damaged part."""
+    file = io.BufferedReader(_Chunks(chunks), STEP)
+    head = file.peek(8)[:8]
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_LAYER)
-        if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(raw, MAX_LAYER)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_LAYER)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, MAX_LAYER)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                return r.read(MAX_LAYER)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return None
+        if head[:1] == b"\x78":
+            d, raw = zlib.decompressobj(), file.read(STEP)
+            while raw:
+                yield d.decompress(raw, STEP)
+                while d.unconsumed_tail:
+                    yield d.decompress(d.unconsumed_tail, STEP)
+                raw = d.unused_data or file.read(STEP)
+                if d.eof:
+                    d = zlib.decompressobj()
+            return
+        if head[:2] == b"\x1f\x8b":
+            f = gzip.GzipFile(fileobj=file)
+        elif head[:3] == b"BZh":
+            f = bz2.BZ2File(file)
+        elif head[:4] == b"\x28\xb5\x2f\xfd":
+            f = zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True)
+        else:
+            f = lzma.LZMAFile(file)
+        with f:
+            while got := f.read1(STEP) if hasattr(f, "read1") else f.read(STEP):
+                yield got
+    except _BROKEN:
+        return
+
+
+def _head(make, n: int) -> bytes:
+    """The first n bytes of a stream."""
+    out = b""
+    for c in make():
+        out += c
+        if len(out) >= n:
+            break
+    return out[:n]
+
+
+def _upto(make, n: int) -> bytes | None:
+    """All bytes of a stream; None if there are more than n."""
+    out, size = [], 0
+    for c in make():
+        out.append(c)
+        size += len(c)
+        if size > n:
+            return None
+    return b"".join(out)
+
+
+def _contents(make, whole: tuple[int, int]):
+    """Layers of what make() gives, unwrapped as long as it is compressed."""
+    seen = set()
+    while _packed(_head(make, 8)):
+        inner = lambda make=make: _inflate(make())
+        if not _head(inner, 1):
+            break
+        make, small = inner, _upto(inner, PIECE)
+        if small is not None:
+            mark = hashlib.blake2b(small, digest_size=16).digest()
+            if mark in seen:
+                return
+            seen.add(mark)
+            make = lambda small=small: iter([small])
+    yield from _stream(make, whole)
+
+
+def _texts(make):
+    """A stream's characters; a byte that isn't UTF-8 stays, as a surrogate."""
+    decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+    for c in make():
+        yield decoder.decode(c)
+    yield decoder.decode(b"", True)
+
+
+def _run(make, start: int, off: int):
+    """Bytes of the base64 that starts off characters after the character start of a stream."""
+    at, rest, skip = 0, "", off
+    for t in _texts(make):
+        at += len(t)
+        if at <= start:
+            continue
+        t = t[max(0, len(t) - (at - start)) :]
+        m = _IN_RUN.match(t)
+        got = m[0].replace("\r", "").replace("\n", "").replace("-", "+").replace("_", "/")
+        rest += got[skip:]
+        skip = max(0, skip - len(got))
+        n = len(rest) // 4 * 4
+        yield binascii.a2b_base64(rest[:n])
+        rest = rest[n:]
+        if m.end() < len(t):
+            break
+    if len(rest) > 1:
+        yield binascii.a2b_base64(rest + "=" * (-len(rest) % 4))
+
+
+def _stream(make, whole: tuple[int, int]):
+    """Layers of a stream's text in overlapping pieces, and of base64 longer than the overlap."""
+    held, size, at, runs, within = [], 0, 0, [], False
+    for t in _texts(make):
+        held.append(t)
+        size += len(t)
+        if size < PIECE:
+            continue
+        text = "".join(held)
+        # long gaps in an assignment must not use up the overlap
+        yield Layer(_SPACES.sub(" " * 64, text), whole)
+        start = len(text.rstrip(_BASE64 + "\r\n"))
+        long = size - start > OVERLAP // 2
+        if long and (start or not within):
+            runs.append(at + start)
+        within = long
+        tail = max(0, size - OVERLAP)
+        gap = len(text.rstrip(" "))
+        held = [text[tail:]] if gap > tail else [text[max(0, gap - OVERLAP) : gap], " " * 64]
+        end, size = at + size, sum(map(len, held))
+        at = end - size
+    if size:
+        yield Layer(_SPACES.sub(" " * 64, "".join(held)), whole)
+    for start in runs:
+        for off in range(4):
+            yield from _contents(lambda start=start, off=off: _run(make, start, off), whole)
 
 
 def _base64(layer: Layer):
@@ -157,41 +307,46 @@ def _base64(layer: Layer):
             continue
         raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
         start, end = m.start(), m.end()
-        packed = _inflate(raw)
-        depth = 0
-        while packed and depth < 32 and (more := _inflate(packed)) is not None:
-            packed, depth = more, depth + 1
-        if packed is not None:
-            whole = layer.origin(start, end)
-            got = _from_bytes(packed, lambda a, b: whole)
-        else:
-            got = _from_bytes(raw, lambda a, b: layer.origin(start + a * 8 // 6, min(end, start - (-b * 8 // 6))))
+        make = lambda raw=raw: iter([raw])
+        if _packed(raw) and _head(lambda: _inflate(make()), 1):
+            yield from _contents(make, layer.origin(start, end))
+            continue
+        got = _from_bytes(raw, lambda a, b: layer.origin(start + a * 8 // 6, min(end, start - (-b * 8 // 6))))
         if got is not None:
             yield got
 
 
+def _inner(layer: Layer):
+    """The layers in a layer, one by one."""
+    if "%" in layer.text:
+        yield _substituted(layer, _URL, _url)
+    if "\\" in layer.text or "&#" in layer.text:
+        yield _substituted(layer, _UNICODE, _unicode)
+    yield from _base64(layer)
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end): the text's own spans, and all spans."""
     text = text or ""
     base = base_spans(text)
     found, seen = set(base), set()
-    work = [Layer(text, None)]
+    work = [iter([Layer(text, None)])]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], work)
+        if layer is work:
+            work.pop()
+            continue
+        if layer is None:
+            continue
         if layer.spans is not None:
-            mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + repr(layer.spans[:1]).encode()
+            mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + repr(layer.spans if isinstance(layer.spans, tuple) else layer.spans[:1]).encode()
             if mark in seen or not layer.text:
                 continue
             seen.add(mark)
             for s, kind, e in base_spans(layer.text):
                 a, b = layer.origin(s, e)
                 found.add((a, kind, b))
-        if "%" in layer.text:
-            work.append(_substituted(layer, _URL, _url))
-        if "\\" in layer.text or "&#" in layer.text:
-            work.append(_substituted(layer, _UNICODE, _unicode))
-        work += _base64(layer)
-        work = [x for x in work if x is not None]
+        work.append(_inner(layer))
     return base, sorted(found)
 
 

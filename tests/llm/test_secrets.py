@@ -70,3 +70,30 @@ def test_operator(odd, none):
     kept = secrets.redacted(odd)
     assert kept.columns == odd.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, odd.collect()))
     assert secrets.redact("a " + S + " b", secrets.scan("a " + S + " b")[1]) == "a [assign]\" b"
+
+
+def test_compressed_layers_are_scanned_to_their_end():
+    b = lambda raw: base64.b64encode(raw).decode()
+    for fill in ("é ", "x "):
+        blob = b(gzip.compress((fill * (9 << 20) + S).encode(), 1))
+        assert kinds("a " + blob + " b") == [("assign", blob)]
+    inner = b(S.encode() + b" word" * 4_000_000)  # base64 longer than a piece
+    blob = b(gzip.compress(("a " + inner).encode(), 1))
+    assert kinds(blob) == [("assign", blob)]
+    inner = b(random.Random(3).randbytes(1 << 20) * 14 + b" " + S.encode())
+    blob = b(gzip.compress(("a: " + inner + " b").encode(), 1))
+    assert kinds(blob) == [("assign", blob)]
+    raw = S.encode()
+    for _ in range(60):
+        raw = zlib.compress(raw)
+    assert kinds(b(raw)) == [("assign", b(raw))]
+
+
+def test_pieces_overlap(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 512)
+    monkeypatch.setattr(secrets, "STEP", 100)
+    for n in [*range(3950, 4150, 7), 9000]:
+        for s in (S, "token" + " " * 9000 + "= abcdef0123456789", base64.b64encode(b"z" * 3000 + b" " + S.encode()).decode()):
+            blob = base64.b64encode(gzip.compress(("é " * (n // 2) + "_ "[: n % 2] + s).encode())).decode()
+            assert ("assign", blob) in kinds(blob), (n, s[:10])
