@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import binascii
 import bz2
-import codecs
 import gzip
 import hashlib
 import io
@@ -57,7 +56,13 @@ _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _IN_RUN = re.compile(r"[A-Za-z0-9+/_\r\n-]*")
 _SPACES = re.compile(r"\x20{65,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN)
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN)
+_BREAK = r"(?:(?:\r?\n|\\r\\n|\\n)[\x20\t]*)"
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:%s[A-Za-z0-9+/_-]++)++={0,2}" % (MIN_TOKEN, _BREAK))
+_BREAKS = re.compile(_BREAK)
+_ROOM = re.compile(rb"[\t\r\n\x20-\x7e]{12,}")
+#: how gzip, zlib, bzip2, xz and zstandard data begin in base64
+_BEGINS = re.compile(r"H4sI|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])|QlpoO|QlpoM|QlpoN|/Td6WFoA|KLUv/")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -90,18 +95,19 @@ class Layer:
         return min(s for s, _ in part), max(e for _, e in part)
 
 
-def _from_bytes(raw: bytes, at) -> Layer | None:
-    """at(first byte, last byte + 1): where these bytes came from."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    spans, k = [], 0
-    for c in text:
-        n = len(c.encode())
-        spans.append(at(k, k + n))
-        k += n
-    return Layer(text, spans)
+def _from_bytes(raw: bytes, at, whole: tuple[int, int] | None = None) -> Layer | None:
+    """at(first byte, last byte + 1): where these bytes came from, or all of them from whole. Secrets and
+    escapes are ASCII, so only parts with room for one are kept, whatever is between them; None without any."""
+    if whole is not None:
+        text = _ascii(raw)
+        return Layer(text, whole) if text else None
+    text, spans = [], []
+    for m in _ROOM.finditer(raw):
+        text.append(m[0].decode())
+        spans.extend(at(k, k + 1) for k in range(m.start(), m.end()))
+        text.append("\0")
+        spans.append(spans[-1])
+    return Layer("".join(text), spans) if text else None
 
 
 def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -244,11 +250,15 @@ def _contents(make, whole: tuple[int, int]):
 
 
 def _texts(make):
-    """A stream's characters; a byte that isn't UTF-8 stays, as a surrogate."""
-    decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+    """A stream's bytes as characters: what is looked for is ASCII, so none can be cut."""
     for c in make():
-        yield decoder.decode(c)
-    yield decoder.decode(b"", True)
+        yield c.decode("latin-1")
+
+
+def _ascii(raw: bytes) -> str:
+    """The parts of a text that have room for a secret; without long gaps, which an assignment may
+    have and which must not use up an overlap."""
+    return _SPACES.sub(" " * 64, b"\0".join(_ROOM.findall(raw)).decode())
 
 
 def _run(make, start: int, off: int):
@@ -281,8 +291,7 @@ def _stream(make, whole: tuple[int, int]):
         if size < PIECE:
             continue
         text = "".join(held)
-        # long gaps in an assignment must not use up the overlap
-        yield Layer(_SPACES.sub(" " * 64, text), whole)
+        yield Layer(_ascii(text.encode("latin-1")), whole)
         start = len(text.rstrip(_BASE64 + "\r\n"))
         long = size - start > OVERLAP // 2
         if long and (start or not within):
@@ -294,28 +303,62 @@ def _stream(make, whole: tuple[int, int]):
         end, size = at + size, sum(map(len, held))
         at = end - size
     if size:
-        yield Layer(_SPACES.sub(" " * 64, "".join(held)), whole)
+        yield Layer(_ascii("".join(held).encode("latin-1")), whole)
     for start in runs:
         for off in range(4):
             yield from _contents(lambda start=start, off=off: _run(make, start, off), whole)
 
 
 def _base64(layer: Layer):
+    """Layers of base64 tokens, and of the lines of wrapped base64 together."""
     for m in _TOKEN.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-        start, end = m.start(), m.end()
-        make = lambda raw=raw: iter([raw])
-        if _packed(raw) and _head(lambda: _inflate(make()), 1):
-            yield from _contents(make, layer.origin(start, end))
-            continue
-        got = _from_bytes(raw, lambda a, b: layer.origin(start + a * 8 // 6, min(end, start - (-b * 8 // 6))))
+        yield from _token(layer, m[0], range(m.start(), m.end()))
+    for m in _WRAPPED.finditer(layer.text):
+        places, done = [], m.start()
+        for gap in _BREAKS.finditer(layer.text, m.start(), m.end()):
+            places.extend(range(done, gap.start()))
+            done = gap.end()
+        places.extend(range(done, m.end()))
+        yield from _token(layer, _BREAKS.sub("", m[0]), places)
+
+
+def _token(layer: Layer, token: str, places):
+    """Layers of a token whose character i is at places[i]. What it touches may look like a part of it, so
+    it is decoded from each of its first four characters, and from wherever compressed data begins."""
+    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+    n = len(body)
+    last = len(token) - 1
+    constant = layer.spans if isinstance(layer.spans, tuple) else None
+    for m in _BEGINS.finditer(body):
+        probe = _raw(body[m.start() : m.start() + 1024])
+        if _packed(probe) and _opens(probe):
+            raw = _raw(body[m.start() :])
+            yield from _contents(lambda raw=raw: iter([raw]), layer.origin(places[m.start()], places[last] + 1))
+    for off in range(min(4, n - MIN_TOKEN + 1)):
+        def at(a: int, b: int, off=off) -> tuple[int, int]:
+            return layer.origin(places[off + a * 8 // 6], places[min(last, off - (-b * 8 // 6) - 1)] + 1)
+
+        got = _from_bytes(_raw(body[off:]), at, constant)
         if got is not None:
             yield got
 
 
+def _raw(body: str) -> bytes:
+    """Bytes of base64; a single character over is none."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return binascii.a2b_base64(body + "=" * (-len(body) % 4))
+
+
+def _opens(probe: bytes) -> bool:
+    """Whether these bytes may begin compressed data; zlib's short mark is also found by chance."""
+    if probe[:1] == b"\x78":
+        try:
+            zlib.decompressobj().decompress(probe)
+        except zlib.error:
+            return False
+    return True
+
+
 def _inner(layer: Layer):
     """The layers in a layer, one by one."""
     if "%" in layer.text:

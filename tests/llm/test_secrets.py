@@ -1,10 +1,13 @@
 import base64
 import bz2
 import gzip
+import lzma
 import random
 import urllib.parse
 import zlib
 
+import zstandard
+
 from freqforge.llm import secrets
 
 S = 'token = "abcdef0123456789"'
@@ -97,3 +100,23 @@ def test_pieces_overlap(monkeypatch):
         for s in (S, "token" + " " * 9000 + "= abcdef0123456789", base64.b64encode(b"z" * 3000 + b" " + S.encode()).decode()):
             blob = base64.b64encode(gzip.compress(("é " * (n // 2) + "_ "[: n % 2] + s).encode())).decode()
             assert ("assign", blob) in kinds(blob), (n, s[:10])
+
+
+def test_ordinary_encoded_layers():
+    rng = random.Random(2)
+    words = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))
+    for raw in (f"{words} {S} {words}".encode(), gzip.compress(f"{words} {S}".encode()), zlib.compress(f"{words} {S}".encode())):
+        for shift in range(0, 60, 7):
+            blob = base64.encodebytes(b" " * shift + raw if raw[:1] == b"w" else raw).decode()
+            for t in (blob, blob.replace("\n", "\r\n"), blob.replace("\n", "\n  "), blob.replace("\n", "\\n"), blob.replace("=", "")):
+                got = secrets.scan("a\n" + t + "\nb")[1]
+                assert any(k == 0 for _, k, _ in got), t
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert kinds(base64.b64encode(pack(b"first") + pack(S.encode())).decode())
+    for odd in (b"\xe9t\xe9 ", bytes(range(128, 256)), b"\x00\xff"):
+        assert kinds(base64.b64encode(odd + S.encode() + odd).decode())
+    for one in (base64.b64encode(S.encode()).decode(), base64.b64encode(gzip.compress(S.encode())).decode(), base64.b64encode(zlib.compress(S.encode())).decode()):
+        for before in ("/", "a", "v1/key/", "x-", "https://host/path_", "data-"):
+            text = before + one
+            assert any(k == 0 for _, k, _ in secrets.scan(text)[1]), text
+            assert S[9:25] not in secrets.redact(text, secrets.scan(text)[1])
