@@ -2,7 +2,9 @@
 
 Groups of equal texts are indivisible. A group of at least 1/ITEMS of all bytes is an item
 of its own; smaller ones share ITEMS hash cells, each an item as well, so the driver sees
-at most 2 * ITEMS items whatever the input. Sorted by size, each item enters the shard
+at most 2 * ITEMS items whatever the input. With a fixed capacity an item is a group of at least 1/FINE
+of it, cells are so many that they hold about as much, and a cell above capacity is taken apart
+into its groups: the driver then sees some 2 * FINE items a shard. Sorted by size, each item enters the shard
 with the tightest remaining capacity that holds it, found in a balanced tree (a treap).
 
 ``pack(items, capacity)`` minimises shards of a fixed capacity; ``balance(items, n)`` looks for
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import read, table
 
 ITEMS = 1 << 14
+FINE = 16
 ROWS_A_BUCKET = 1 << 14
 
 
@@ -116,16 +119,24 @@ def balance(sizes: list[int], n: int, steps: int = 12) -> list[int]:
 
 def shard(docs: DataFrame, n_shards: int = 16, *, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot. With capacity, as few shards as best-fit-decreasing
-    needs of that many bytes, else n_shards of near equal size."""
+    needs of that many bytes, which only a single group can exceed, else n_shards of near equal size."""
     spark = docs.sparkSession
     t = F.coalesce(docs[text], F.lit(""))
     rows = table(docs.select(docs[doc_id].alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("grp")), "shard-rows")
     groups = rows.groupBy("grp").agg(F.sum("size").alias("size"))
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
-    least = -(-(total or 0) // ITEMS)
-    cell = F.pmod("grp", F.lit(ITEMS))
-    items = groups.groupBy((F.col("size") >= least).alias("own"), F.when(F.col("size") >= least, F.col("grp")).otherwise(cell).alias("item")).agg(F.sum("size").alias("size"))
-    got = sorted(items.collect(), key=lambda r: (-r["size"], r["own"], r["item"]))  # at most 2 * ITEMS
+    least, n_cells = -(-(total or 0) // ITEMS), ITEMS
+    if capacity:
+        least, n_cells = min(least, -(-capacity // FINE)), max(ITEMS, -(-FINE * (total or 0) // capacity))
+    cell = F.pmod("grp", F.lit(n_cells))
+    own = F.col("size") >= least
+    if capacity:
+        small = groups.where(~own).groupBy(cell.alias("cell")).agg(F.sum("size").alias("in_cell"))
+        over = small.where(F.col("in_cell") > capacity).select("cell", F.lit(True).alias("over"))
+        groups = groups.withColumn("cell", cell).join(over, "cell", "left")
+        own = own | F.coalesce("over", F.lit(False))
+    items = groups.groupBy(own.alias("own"), F.when(own, F.col("grp")).otherwise(cell).alias("item")).agg(F.sum("size").alias("size"))
+    got = sorted(items.collect(), key=lambda r: (-r["size"], r["own"], r["item"]))  # at most 2 * ITEMS, with capacity some 2 * FINE a shard
     sizes = [r["size"] for r in got]
     bins = pack(sizes, capacity) if capacity else balance(sizes, n_shards)
     maps = {own: spark.createDataFrame([(r["item"], b) for r, b in zip(got, bins) if r["own"] == own], "item long, b int") for own in (True, False)}

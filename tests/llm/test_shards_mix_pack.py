@@ -53,6 +53,17 @@ def test_shards(odd, none):
     assert n == -(-sum(s for _, s, *_ in got) // 100_000) or n <= 7
 
 
+@pytest.mark.parametrize("fine", [16, 1])
+def test_capacity_holds_for_many_small_groups(spark, monkeypatch, fine):
+    monkeypatch.setattr(sharding, "ITEMS", 16)
+    monkeypatch.setattr(sharding, "FINE", fine, raising=False)
+    df = spark.createDataFrame([(i, f"{i % 2500} " + "x" * (i % 2500 % 67)) for i in range(3000)], "doc_id long, text string")
+    filled = Counter()
+    for _, size, _, shard, _ in rows(sharding.shard(df, capacity=1000)):
+        filled[shard] += size
+    assert max(filled.values()) <= 1000 and len(filled) <= 1.02 * -(-sum(filled.values()) // 1000) + 1
+
+
 def test_mix_targets_and_repetitions(spark, odd, none):
     assert not rows(mixing.mix(none))
     data = [(i, "w " * (1 + i % 7), "a" if i < 300 else "b" if i < 320 else None if i < 330 else "empty", ) for i in range(335)]
