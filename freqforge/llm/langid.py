@@ -8,8 +8,10 @@ margin against the runner-up in relation to the text's size; below MARGIN the ch
 marked as rejected.
 
 Dictionaries are filled from a bounded sample: about OVER * DICT_ROWS rows a language, those with
-the smallest hashes of doc_id, and DICT_BYTES bytes of them. Every document is compressed whole. Languages
-are labels; MAX_LANGS of them, the most frequent, can be learned.
+the smallest hashes of doc_id, and DICT_BYTES bytes of them; of texts above DICT_BYTES / 8 bytes the SLICE
+characters from the first letter on. Rows with a letter count, so each learned language has a
+dictionary. Every document is compressed whole. Languages are labels; MAX_LANGS of them, the most
+frequent, can be learned.
 
 Cases: null, empty and letterless texts are `und` with score 0; without anything to learn from
 all are `und`; ties go to the first language by code point; equal rows get equal
@@ -32,6 +34,7 @@ FOLDS, HELD_OUT = 4, 2
 DICT_ROWS = 400
 OVER = 1.5
 DICT_BYTES = 1 << 17
+SLICE = DICT_BYTES // 32  # characters, of four bytes at most
 MAX_LANGS = 256
 MARGIN = 0.01
 UND = "und"
@@ -48,14 +51,15 @@ def letters(text: str) -> str:
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A raw-content dictionary a language; docs holds only rows to learn from."""
-    rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("t"), docs[lang].alias("lang")).where(F.col("lang").isNotNull())
+    rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("t"), docs[lang].alias("lang")).where(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not langs:
         return {}
     # one scan: hashes below a level that leaves about OVER * DICT_ROWS rows of each language
     part = F.conv(F.substring(id_order(F.col("id")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     level = F.create_map(*[F.lit(v) for r in langs for v in (r["lang"], min(1.0, OVER * DICT_ROWS / r["count"]))])
-    got = rows.where((part < level[F.col("lang")]) & (F.octet_length("t") <= DICT_BYTES // 8) & F.col("t").rlike(r"\p{L}")).withColumn("h", id_order(F.col("id"))).collect()
+    some = F.when(F.octet_length("t") <= DICT_BYTES // 8, F.col("t")).otherwise(F.regexp_extract("t", r"(?s)\p{L}.{0,%d}" % (SLICE - 1), 0))
+    got = rows.where(part < level[F.col("lang")]).select("id", "lang", some.alias("t"), id_order(F.col("id")).alias("h")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["h"], r["id"])):
         have = out.get(r["lang"], b"")

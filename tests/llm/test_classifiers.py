@@ -55,3 +55,17 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in langid.with_language(odd, {}).collect()} == {"und"}
     one = langid.with_language(odd, {"xx": b"abc"}).collect()
     assert {r["lang_pred"] for r in one} == {"xx", "und"}
+
+
+def test_languages_of_long_texts_are_learned(spark, monkeypatch):
+    """Long texts give slices, and rows without letters don't use up the sample."""
+    monkeypatch.setattr(langid, "DICT_ROWS", 20)
+    rng = random.Random(6)
+    vocab = {x: [word(rng, x) for _ in range(60)] for x in ("abcde", "vwxyz")}
+    text = lambda letters, n: " ".join(rng.choices(vocab[letters], k=n))
+    rows = [(i, "1 " * 20_000 + text("abcde", 4000), "xx") for i in range(30)]
+    rows += [(100 + i, text("vwxyz", 80), "yy") for i in range(30)] + [(1000 + i, "12 34", "yy") for i in range(3000)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model) == {"xx", "yy"} and len(model["xx"]) > 16 * 1024 and len(model["yy"]) > 8 * 1024
+    new = spark.createDataFrame([(1, text("abcde", 50)), (2, text("vwxyz", 50))], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.with_language(new, model).collect()} == {1: "xx", 2: "yy"}
