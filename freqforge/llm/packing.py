@@ -13,7 +13,8 @@ Token ids are those of the tokenizer file (a byte-level BPE in the JSON format o
 `tokenizers`). The encoder takes the file's vocabulary as merge ranks and remembers the ids
 of every blank-separated chunk it has met, up to CACHE chunks; at a blank between two
 other characters that aren't white space the pre-tokenizer always cuts. A document with
-other white space beside a blank is encoded as a whole. Strings of special tokens in a text are ordinary text.
+other white space beside a blank is encoded as a whole. As `tokenizers` does, the file's added tokens are found in a
+text first, the leftmost and longest, and what is between them is encoded piece by piece.
 
 Cases: null and empty texts are one end token; equal rows are packed one by one; an
 empty table gives no rows; other columns of the input are ignored.
@@ -21,6 +22,7 @@ empty table gives no rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from bisect import insort
@@ -48,10 +50,19 @@ def byte_ranks(tokenizer: bytes) -> dict[bytes, int]:
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     back = {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     spec = json.loads(tokenizer)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = added_tokens(tokenizer)
     return {bytes(back[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
 
 
+def added_tokens(tokenizer: bytes) -> dict[str, int]:
+    """Ids of the file's added tokens. Ones that take the white space beside them, or stand for whole words only,
+    aren't known here."""
+    spec = json.loads(tokenizer).get("added_tokens") or []
+    if any(t.get(x) for t in spec for x in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens with single_word, lstrip or rstrip")
+    return {t["content"]: t["id"] for t in spec}
+
+
 class _Whole(Exception):
     """The text can't be cut at its blanks."""
 
@@ -64,6 +75,8 @@ class Encoder(dict):
         import tiktoken
 
         super().__init__()
+        self.added = {t: np.array([i], dtype="<u4").tobytes() for t, i in added_tokens(tokenizer).items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=byte_ranks(tokenizer), special_tokens={})
 
     def ids(self, text: str) -> bytes:
@@ -78,6 +91,12 @@ class Encoder(dict):
         return got
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None or not any(map(text.__contains__, self.added)):
+            return self.plain(text)
+        return b"".join(self.added.get(t) or self.plain(t) for t in self.cut.split(text))
+
+    def plain(self, text: str) -> bytes:
+        """ids of a text without added tokens."""
         chunks = text.split(" ")
         if len(chunks) == 1 or not chunks[0] or chunks[0][-1].isspace():
             return self.ids(text)

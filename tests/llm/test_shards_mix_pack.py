@@ -50,7 +50,7 @@ def test_shards(odd, none):
     by = {r["doc_id"]: r["text"] for r in odd.collect()}
     assert all(size == len((by[d] or "").encode()) + 1 and crc == zlib.crc32((by[d] or "").encode()) for d, size, crc, *_ in got)
     n = len({b for *_, b, _ in rows(sharding.shard(odd, capacity=100_000))})
-    assert n == -(-sum(s for _, s, *_ in got) // 100_000) or n <= 7
+    assert n == 2  # the one text above the capacity, and all others together
 
 
 @pytest.mark.parametrize("fine", [16, 1])
@@ -111,7 +111,6 @@ def test_encoder_is_the_tokenizer(text):
 
     if not hasattr(test_encoder_is_the_tokenizer, "both"):
         t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        t.encode_special_tokens = True
         test_encoder_is_the_tokenizer.both = t, packing.Encoder(packing.tokenizer_file())
     t, mine = test_encoder_is_the_tokenizer.both
     for x in (text, text + " word " + text):
