@@ -2,7 +2,7 @@
 
 A zstandard raw-content dictionary holds text of each language; a text is compressed with
 every one of them and the language of the smallest result is chosen. Texts, in dictionaries
-too, are lower-cased and runs of anything but letters become a blank, so shouting and noise
+too, are lower-cased and runs of anything but letters and their combining marks become a blank, so shouting and noise
 look like prose; matches of four bytes count, as syllables tell languages apart. The score sets the
 margin against the runner-up in relation to the text's size; below MARGIN the choice is
 marked as rejected.
@@ -20,6 +20,10 @@ results; an empty table gives no rows; other columns go along, ones that are nam
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +46,25 @@ UND = "und"
 #: match finder: matches of at least four bytes, sixteen attempts
 PARAMS = dict(strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=4, hash_log=17, chain_log=17, window_log=19)
 
-_OTHER = re.compile(r"[\W\d_]+")
+
+
+@cache
+def _class(kinds: str) -> str:
+    """The characters whose Unicode category begins with one of kinds, as the body of a class."""
+    inside = (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds)
+    runs = ([c for _, c in g] for _, g in groupby(enumerate(inside), lambda x: x[1] - x[0]))
+    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+
+
+@cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    return re.compile(f"[{_class('L')}]"), re.compile(f"[^{_class('LM')}]+")
 
 
 def letters(text: str) -> str:
-    return _OTHER.sub(" ", text.lower())
+    """Lower-cased letters and combining marks with blanks between; empty without a letter."""
+    letter, other = _patterns()
+    return other.sub(" ", text.lower()) if letter.search(text) else ""
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -75,7 +93,7 @@ def chooser(dictionaries: dict[str, bytes]):
 
     def choose(text: str | None) -> tuple[str, float, bool]:
         raw = letters(text or "").encode()
-        if not langs or not raw.strip():
+        if not langs or not raw:
             return UND, 0.0, True
         got = [s(raw) for s in sizers]
         best = int(np.argmin(got))
