@@ -6,11 +6,12 @@ size over the text's bytes: endless repetition compresses like nothing else), go
 logistic calibration fitted on labelled texts that are not in the dictionaries.
 
 The sample is bounded: DICT_ROWS rows a class and CALIBRATE_ROWS rows, in the order of a hash of
-doc_id, SAMPLE_BYTES bytes a class. Only it reaches the driver; every document is scored whole.
+doc_id, SAMPLE_BYTES bytes a class, the first SAMPLE_CHARS characters of a longer text. Only it reaches
+the driver; every document is scored whole.
 
 Cases: null is an empty text, and that has a score like any other; with a class
 missing from the labels the score is the share of label 1 (0.5 without labels); where
-labels of one doc_id differ the lower one holds; equal rows get equal scores; an empty table
+labels of one doc_id differ the lower one holds, and where texts do the one with the least hash is learned from; equal rows get equal scores; an empty table
 gives no rows; other columns go along, one that is named `score` gives way.
 """
 from __future__ import annotations
@@ -31,6 +32,7 @@ FOLDS, HELD_OUT = 5, 0
 DICT_ROWS = 1500
 CALIBRATE_ROWS = 2000
 SAMPLE_BYTES = 16 << 20
+SAMPLE_CHARS = SAMPLE_BYTES // 256  # of four bytes at most
 DICT_BYTES = 1 << 17
 #: COVER parameters: segment and d-mer length
 SEGMENT, DMER = 200, 8
@@ -97,8 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     takes += [lab.where((F.col("h") >= "5") & (F.col("y") == c)).orderBy("h", "id").limit(DICT_ROWS).withColumn("part", F.lit(c)) for c in (0, 1)]
     picked = takes[0].unionByName(takes[1]).unionByName(takes[2])  # CALIBRATE_ROWS + 2 * DICT_ROWS rows at most
     rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("t")).where(F.col("t").isNotNull())
-    got = rows.join(F.broadcast(picked), "id").withColumn("n", F.octet_length("t"))
-    got = got.where(F.col("n") <= SAMPLE_BYTES // 64).dropDuplicates(["id"]).collect()
+    rows = rows.select("id", F.xxhash64("t").alias("k"), F.left("t", F.lit(SAMPLE_CHARS)).alias("t"))
+    got = rows.join(F.broadcast(picked), "id").groupBy("id", "y", "h", "part").agg(F.min(F.struct("k", "t")).alias("s"))
+    got = got.select("id", "y", "h", "part", F.col("s.t").alias("t"), F.octet_length("s.t").alias("n")).collect()
     got.sort(key=lambda r: (r["h"], r["id"]))
     texts: list[list[str]] = [[], [], []]
     used, y = [0, 0, 0], []

@@ -69,3 +69,21 @@ def test_languages_of_long_texts_are_learned(spark, monkeypatch):
     assert set(model) == {"xx", "yy"} and len(model["xx"]) > 16 * 1024 and len(model["yy"]) > 8 * 1024
     new = spark.createDataFrame([(1, text("abcde", 50)), (2, text("vwxyz", 50))], "doc_id long, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in langid.with_language(new, model).collect()} == {1: "xx", 2: "yy"}
+
+
+def test_letters_are_unicode_letters(spark):
+    """Numerals and lone marks are no letters; vowel signs stay in their words."""
+    choose = langid.chooser({"hi": "हिन्दी की किताबें".encode(), "xx": b"abc"})
+    for t in ("½ ² ①", "Ⅷ ٣ 12", "\u0301 \u093f", "_ - 🙂", "", None):
+        assert choose(t) == ("und", 0.0, True), t
+    assert langid.letters("हिन्दी 1 ABC²é") == "हिन्दी abc é"
+    assert choose("हिन्दी")[0] == "hi" and choose("ªbc")[0] in ("hi", "xx")
+
+
+def test_the_sample_repeats(spark, monkeypatch):
+    """Long texts are cut and not left out; of texts that share a doc_id the same one is taken every time."""
+    docs, labels = corpus(spark, 60)
+    more = docs.unionByName(docs.withColumn("text", F.concat(F.lit("also "), "text")))
+    assert quality.fit(more, labels) == quality.fit(more.repartition(5).orderBy(F.desc("text")), labels)
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 100)
+    assert len(quality.fit(docs, labels).dicts) == 2
