@@ -22,10 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset and Spark is one process (tests)."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if told:
         return told
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="freqforge-"))
         atexit.register(_remove_own)
@@ -39,24 +41,41 @@ def _remove_own() -> None:
         shutil.rmtree(d.removeprefix("file://"), ignore_errors=True)
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended; the folder is the cluster's to clean
+        pass
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_WRITTEN):
+        _delete(path)
+
+
 def table(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, and any
-    executor can be lost afterwards. The files go when the session ends."""
+    executor can be lost afterwards. The files go with drop() or when the session ends."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/freqforge/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._freqforge_path = path
+    return out
 
-    def remove() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the session has ended; the folder is the cluster's to clean
-            pass
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that nothing will read again."""
+    for t in tables:
+        _delete(t._freqforge_path)
 
 
 def let(value: Column, body) -> Column:

@@ -1,36 +1,65 @@
 """Connected components of a table of links, in DataFrame joins only."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, table
 
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step of the alternating star algorithm; edges are (u, v). Large star: every larger neighbour of u goes
-    to the least node around u. Small star: u's smaller neighbours and u itself do."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    around = both if large else both.where("v < u")
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    moved = around.join(least, "u")
-    moved = moved.where("v > u").select("v", "m") if large else moved.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
-    return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of the component of each of 0 to n - 1, which a[i]-b[i] link."""
+    low = np.arange(n)
+    while len(a):
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if np.array_equal(new, low):
+            break
+        low = new
+    return low
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """node, m, c: the least neighbour of the nodes that have a smaller one, and how many they have; a table of its own, so
+    that a hub on the other side of a join is split by adaptive execution."""
+    return table(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"), F.count("*").alias("c")), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> node, root: the least node that can be reached. Nodes without links are not in it.
-    Each round is written to the shared folder; rounds grow with the logarithm of the diameter."""
-    now = table(edges.where("u <> v").select("u", "v").distinct(), "links")
-    mark = None
+
+    Alternating stars over pairs (hi, lo). Large star: each larger neighbour of a node goes to the least one around that
+    node. Small star: the smaller neighbours and the node itself do. Each step is written to the shared folder and what came
+    before is removed; rounds grow with the logarithm of the diameter."""
+    now = table(edges.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(), "links")
     for _ in range(MAX_ROUNDS):
-        now = table(_star(_star(now, True), False), "links")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
+        least = _least(now)
+        above = F.col("lo") == F.col("node")
+        if least.where("c > 1").select("node").unionAll(now.join(least, above, "left_semi").select("hi")).isEmpty():
+            drop(least)
             break
-        mark = new
+        large = table(now.join(least, above, "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct(), "links")
+        drop(now, least)
+        least = _least(large)
+        small = large.join(least, F.col("hi") == F.col("node")).select(F.inline(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))))
+        now = table(small.where("hi <> lo").distinct(), "links")
+        drop(large, least)
     else:
         raise RuntimeError(f"components: no fixpoint after {MAX_ROUNDS} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    tops = now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(tops)
+
+
+def component_ids(root: DataFrame, least: DataFrame) -> DataFrame:
+    """root (node, root) and least (node, least), a row a node, linked or not -> node, component_id: the least of the node's
+    component."""
+    linked = root.join(least, "node")
+    of = table(linked.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    found = root.join(of, "root").select("node", "component_id")
+    return least.join(found, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))

@@ -115,8 +115,26 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
         for a in links:
             for b in links[a]:
                 root[a] = root[b] = min(root[a], root[b])
-    found = sum(got[i]["n_links"] for i in links)
-    assert found >= 0.9 * sum(map(len, links.values())) and all(got[i]["n_links"] <= len(links[i]) for i in links)
-    assert sum(got[i]["component_id"] == root[i] for i in links) >= 0.95 * len(links)
+    assert all(got[i]["n_links"] == len(links[i]) and got[i]["component_id"] == root[i] for i in links)
     assert all(got[i]["kept"] == (i == got[i]["component_id"]) for i in links)
     assert not embed.near_dups(df.limit(0)).collect()
+
+
+@pytest.mark.parametrize("most", [48, 2])
+def test_embeddings_that_share_a_direction(spark, monkeypatch, most):
+    """Mean cosine 0.95, planted pairs: passes are added until the sampled links are found, or the label is compared in full."""
+    monkeypatch.setattr(embed, "MAX_PASSES", most)
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(0.95) * unit(rng.standard_normal(32)) + np.sqrt(0.05) * unit(rng.standard_normal((2000, 32))))
+    d = rng.standard_normal((200, 32))
+    p = x[:200]
+    c = rng.uniform(0.981, 0.99, (200, 1))
+    x = np.r_[x, c * p + np.sqrt(1 - c * c) * unit(d - (d * p).sum(1, keepdims=True) * p)]
+    rows = [(i, v.tolist(), "a label") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(4)
+    got = embed.near_dups(df, window=16).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and want.sum() > 300
+    if most == 2:
+        assert (got == want).all()
