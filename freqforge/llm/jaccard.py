@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is (document frequency, hash), rare ones first; the hash space is cut
-into fragments. A document's set is five-word shingle hashes; equal sets are one class, known by
+The global order of n-grams is (document frequency up to HOT, hash), rare ones first, and a shared n-gram is known by its
+number in it. To count frequencies, the hash space is cut into fragments; to count overlaps, the global order is. A document's set is five-word shingle hashes; equal sets are one class, known by
 a 64-bit key, and only classes are compared.
 
 1. Map: texts become sets; each fragment gets its segments of many sets as one block: sorted
@@ -12,15 +12,16 @@ a 64-bit key, and only classes are compared.
    set a class has no partner. The others keep their shared n-grams, in the global order, and
    the prefix of it within which partners must meet.
 4. Join: classes meet in the buckets of prefix n-grams. Small buckets give pairs, filtered by length and
-   position; pairs' overlaps are counted fragment by fragment and summed per pair. Classes of larger
+   position; pairs' overlaps are counted in each fragment of the order, between its CUTS, and summed per pair. Classes of larger
    buckets are dealt to blocks, and blocks that share a bucket are compared in a task, again
-   summing partial overlaps over fragments of the n-grams; only links that join something new leave the task. So
-   no bucket's pairs are written out, and none is left out.
-5. Links, and what is linked already, become components.
+   summing partial overlaps over fragments of the order; what leaves the task is each class's number of links, and as many
+   links as the components need. So no bucket's pairs are written out, and none is left out or counted twice.
+5. Links become components.
 
 Cases: null texts and texts without words have no shingle and are linked with nothing, their own least
-id; shorter texts than five words are one shingle; equal rows are one class; a null doc_id is
-never the least one but where there is no other; an empty table gives no rows; other columns are ignored.
+id; shorter texts than five words are one shingle; equal texts are one class, and linked; a null doc_id is
+never the least one but where there is no other; an empty table gives no rows; ``join`` ignores other columns. ``keep_one``
+leaves one row of each component, equal rows included, and every row without words; all columns stay.
 """
 from __future__ import annotations
 
@@ -30,12 +31,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from .common import read, table
-from .graph import components
+from .graph import component_ids, components, forest
 
 WORDS = 5
 PERCENT = 75
@@ -47,7 +48,8 @@ MIN_FRAGMENTS = 24
 HOT = 64
 SMALL = 8
 BLOCK = 256
-VERTICAL = 4
+#: fragments of the global order in which pairs' overlaps are counted: half of the n-grams of two classes, the other half, ...
+CUTS = (0, 2 << BITS | 1 << BITS - 1, 3 << BITS, 6 << BITS, HOT + 1 << BITS)
 BYTES_A_WORD = 6
 
 _U = np.uint64
@@ -127,11 +129,11 @@ def _map(fragments: int, homes: int):
         rows = []
         ids = np.array([d[0] for d in docs], np.int64)
         known = np.array([d[1] for d in docs], bool)
-        keys, sizes = np.array([d[2] for d in docs], _U), np.array([d[3] for d in docs], np.int64)
+        keys, sizes, own_rows = np.array([d[2] for d in docs], _U), np.array([d[3] for d in docs], np.int64), np.array([d[4] for d in docs], np.int64)
         home = (keys % _U(homes)).astype(np.int64)
         for p in np.unique(home):
             m = home == p
-            rows.append((int(p) % fragments, _DOCS, int(p).to_bytes(8, "little"), *_zip(ids[m], np.packbits(known[m]), np.c_[keys[m].view(np.int64), sizes[m]])))
+            rows.append((int(p) % fragments, _DOCS, int(p).to_bytes(8, "little"), *_zip(ids[m], np.packbits(known[m]), np.c_[keys[m].view(np.int64), sizes[m], own_rows[m]])))
         own = np.fromiter(sets, _U, len(sets))
         h = np.concatenate([*sets.values(), np.zeros(0, _U)]) >> _U(64 - BITS)
         who = np.repeat(np.arange(len(own)), [len(s) for s in sets.values()])
@@ -159,11 +161,11 @@ def _map(fragments: int, homes: int):
     def run(batches):
         docs, sets, n = [], {}, 0
         for b in batches:
-            for d, t in zip(b.column(0), b.column(1)):
+            for d, t, r in zip(b.column(0), b.column(1), b.column(2)):
                 s = shingles(t.as_py())
                 key = set_key(s) if len(s) else 0
                 d = d.as_py()
-                docs.append((d or 0, d is not None, key, len(s)))
+                docs.append((d or 0, d is not None, key, len(s), r.as_py()))
                 if len(s) and key not in sets:
                     sets[key] = s
                     n += len(s)
@@ -227,30 +229,30 @@ def least_overlap(n: int, m: int) -> int:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-_HOME = "doc_id long, key long, n int, grams array<long>, prefix int"
+_HOME = "doc_id long, row long, key long, n int, grams array<long>, prefix int"
 
 
 def _home(table_: pa.Table) -> pa.Table:
-    ids, keys, sizes, tk, th, tf = [], [], [], [], [], []
+    ids, docs, tk, tg = [], [], [], []
     for kind, b, c, d in zip(*(table_.column(x).to_pylist() for x in ("kind", "b", "c", "d"))):
         if kind == _DOCS:
             i = _unzip(b, "<i8")
             known = np.unpackbits(_unzip(c, "u1"), count=len(i)).astype(bool)
-            kn = _unzip(d, "<i8").reshape(-1, 2)
             ids += [x if y else None for x, y in zip(i.tolist(), known)]
-            keys.append(kn[:, 0])
-            sizes.append(kn[:, 1])
+            docs.append(_unzip(d, "<i8").reshape(-1, 3))
         else:
             tk.append(_unzip(b, "<u8"))
-            th.append(_unzip(c, "<u8"))
-            tf.append(_unzip(d, "u1"))
-    key, n = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (keys, sizes))
-    k, h, f = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((tk, _U), (th, _U), (tf, np.uint8)))
-    o = np.lexsort((h, f, k))
-    k, h = k[o].view(np.int64), h[o].view(np.int64)
+            tg.append(_unzip(d, "u1").astype(_U) << _U(BITS) | _unzip(c, "<u8"))
+    key, n, row = np.concatenate([*docs, np.zeros((0, 3), np.int64)]).T
+    k, g = (np.concatenate([*x, np.zeros(0, _U)]) for x in (tk, tg))
+    o = np.lexsort((g, k))
+    k, g = k[o].view(np.int64), g[o].view(np.int64)
+    if len(k):  # the hot ones may have been told more than once for copies in several blocks
+        new = np.r_[True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])]
+        k, g = k[new], g[new]
     uniq, first = np.unique(key, return_index=True)
     size = dict(zip(uniq.tolist(), n[first].tolist()))
-    out: list[list] = [ids, key.tolist(), n.tolist(), [None] * len(ids), [None] * len(ids)]
+    out: list[list] = [ids, row.tolist(), key.tolist(), n.tolist(), [None] * len(ids), [None] * len(ids)]
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
     for s, e in zip(start, [*start[1:], len(k)]):
         who = int(k[s])
@@ -258,21 +260,20 @@ def _home(table_: pa.Table) -> pa.Table:
         # m - (e - s) n-grams, which come first in the order, are nobody else's
         prefix = m - -(-PERCENT * m // 100) + 1 - (m - (e - s))
         if prefix > 0:
-            # the hot ones may have been told more than once for copies in several blocks
-            g, at = np.unique(h[s:e], return_index=True)
-            g = h[s:e][np.sort(at)]
-            prefix -= (e - s) - len(g)
-            if prefix > 0:
-                for col, v in zip(out, (None, who, m, g.tolist(), prefix)):
-                    col.append(v)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "key", "n", "grams", "prefix"])
+            for col, v in zip(out, (None, None, who, m, g[s:e].tolist(), prefix)):
+                col.append(v)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "row", "key", "n", "grams", "prefix"])
+
+
+def row_hash(docs: DataFrame, doc_id: str, text: str) -> Column:
+    return F.xxhash64(docs[doc_id].cast("long"), docs[text])
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A table of documents (grams null) and of the classes that may have partners."""
+    """A table of documents (grams null; row tells rows of one doc_id apart) and of the classes that may have partners."""
     ship(docs.sparkSession)
-    src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), row_hash(docs, doc_id, text).alias("row"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(MIN_FRAGMENTS, math.ceil(size / BYTES_A_WORD / FRAGMENT))
     cut = src.mapInArrow(_map(fragments, fragments), _BLOCK)
@@ -280,39 +281,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return table(told.groupBy("part").applyInArrow(_home, _HOME), "classes")
 
 
-def _components_in(keys: np.ndarray, pairs: np.ndarray):
-    """Pairs (indices) that join something new."""
-    root = list(range(len(keys)))
-    for a, b in pairs.tolist():
-        for x in (a, b):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-        while root[a] != a:
-            a = root[a]
-        while root[b] != b:
-            b = root[b]
-        if a != b:
-            root[b] = a
-            yield a, b
-
-
 def _compare_blocks(batches):
-    """Rows of two blocks (lists of key, n, grams) -> links (u, v) that join something new."""
+    """Rows of two blocks (lists of key, n, copies, grams) -> (u, v) links, as many as their components need, and
+    (u, null, c): documents of the other block that u is linked with."""
     for batch in batches:
-        us, vs = [], []
-        for left, right in zip(batch.column(0), batch.column(1)):
-            left, right = left.values, right.values
-            keys = np.r_[left.field("key").to_numpy(), right.field("key").to_numpy()]
-            n = np.r_[left.field("n").to_numpy(), right.field("n").to_numpy()].astype(np.int64)
+        us, vs, cs = [], [], []
+        for left, right, same in zip(batch.column(0), batch.column(1), batch.column(2)):
+            left, right, same = left.values, right.values, same.as_py()
+            keys, n, copies = ([x.field(c).to_numpy().astype(np.int64) for x in (left, right)] for c in ("key", "n", "copies"))
             grams = [left.field("grams"), right.field("grams")]
             lens = [np.diff(g.offsets.to_numpy()) for g in grams]
             h = [g.flatten().to_numpy() for g in grams]
             both = np.intersect1d(h[0], h[1])
-            part = len(left)
-            overlap = np.zeros((part, len(right)), np.float32)
+            overlap = np.zeros((len(left), len(right)), np.float32)
             owners = [np.repeat(np.arange(len(x)), x) for x in lens]
-            for at in range(0, len(both), 4096):  # fragments of the n-grams; partial overlaps are summed
+            for at in range(0, len(both), 4096):  # fragments of the order; partial overlaps are summed
                 f = both[at : at + 4096]
                 m = []
                 for side in (0, 1):
@@ -323,56 +306,96 @@ def _compare_blocks(batches):
                     m.append(one)
                 overlap += m[0] @ m[1].T
             inter = np.rint(overlap).astype(np.int64)
-            union = n[:part, None] + n[None, part:] - inter
-            a, b = np.nonzero((100 * inter >= PERCENT * union) & (keys[:part, None] != keys[None, part:]))
-            for i, j in _components_in(keys, np.c_[a, b + part]):
-                us.append(int(keys[i]))
-                vs.append(int(keys[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-
-def links(found: DataFrame) -> DataFrame:
-    """Links (u, v) between classes, as many as their components need at least."""
+            union = n[0][:, None] + n[1][None, :] - inter
+            near = (100 * inter >= PERCENT * union) & (keys[0][:, None] != keys[1][None, :])
+            a, b = np.nonzero(near)
+            every = keys[0] if same else np.concatenate(keys)
+            low = forest(len(every), a, b if same else b + len(left))
+            m = np.flatnonzero(low != np.arange(len(every)))
+            us += every[m].tolist()
+            vs += every[low[m]].tolist()
+            cs += [0] * len(m)
+            count = near @ copies[1] if same else np.r_[near @ copies[1], copies[0] @ near]
+            m = np.flatnonzero(count)
+            us += every[m].tolist()
+            vs += [None] * len(m)
+            cs += count[m].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (us, vs, cs)], names=["u", "v", "c"])
+
+
+def links(found: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) between classes, as many as their components need at least; and (key, c): with how many documents
+    of other classes a class is linked. copies: key, copies."""
     sets = found.where("grams IS NOT NULL").select("key", "n", "grams", "prefix")
     entries = table(sets.select("key", "n", F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("at", "gram"), (F.col("n") - F.size("grams")).alias("own")), "prefixes")
     counts = entries.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
     met = entries.join(counts, "gram")
-    # small buckets: pairs, each in the order of keys
+    # larger buckets: a class goes with its largest bucket, in blocks of about BLOCK
+    large = table(met.where(F.col("c") > SMALL).select("gram", "key", "c"), "buckets")
+    led = table(large.groupBy("key").agg(F.max(F.struct("c", "gram")).alias("lead")).select("key", F.col("lead.gram").alias("lead")), "leads")
+    dealt = led.join(led.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "lead")
+    dealt = table(dealt.select("key", F.xxhash64("lead", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block")), "dealt")
+    touch = table(large.join(dealt, "key").select("gram", "block").distinct(), "touch")
+    meet = table(touch.join(touch.withColumnRenamed("block", "block2"), "gram").where("block <= block2").select("block", "block2").distinct(), "meet")
+    blocks = table(sets.join(dealt, "key").join(copies, "key").groupBy("block").agg(F.collect_list(F.struct("key", "n", "copies", "grams")).alias("docs")), "blocks")  # about BLOCK at most
+    many = meet.join(blocks.select("block", F.col("docs").alias("l")), "block").join(blocks.select(F.col("block").alias("block2"), F.col("docs").alias("r")), "block2")
+    many = table(many.select("l", "r", (F.col("block") == F.col("block2")).alias("same")).mapInArrow(_compare_blocks, "u long, v long, c long"), "compared")
+    # small buckets: pairs, each in the order of keys, but for those whose blocks meet
     group = met.where(F.col("c") <= SMALL).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("key", "n", (F.col("own") + F.col("at")).alias("at")))).alias("g"))  # SMALL at most
     pair = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = group.select(F.inline(pair)).select(F.col("x.key").alias("u"), F.col("y.key").alias("v"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.at").alias("i"), F.col("y.at").alias("j"))
     need = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
     pairs = pairs.where((F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT) & (1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= need))
     pairs = pairs.select("u", "v", "n", "m").distinct()
-    fragment = F.transform(F.sequence(F.lit(0), F.lit(VERTICAL - 1)), lambda f: F.filter("grams", lambda x: F.shiftright(x, BITS - int(math.log2(VERTICAL))) == f))
+    places = [dealt.select(F.col("key").alias(x), F.col("block").alias(f"{x}_block")) for x in "uv"]
+    pairs = pairs.join(places[0], "u", "left").join(places[1], "v", "left")
+    pairs = pairs.join(meet, (F.least("u_block", "v_block") == F.col("block")) & (F.greatest("u_block", "v_block") == F.col("block2")) & F.col("u_block").isNotNull() & F.col("v_block").isNotNull(), "left_anti")
+    within = lambda a, b: F.filter("grams", lambda x: (x >= F.lit(a).cast("long")) & (x < F.lit(b).cast("long")))
+    fragment = F.array(*map(within, CUTS, CUTS[1:]))
     parts = sets.select("key", F.posexplode(fragment).alias("f", "seg"))
     a, b = parts.select(F.col("key").alias("u"), "f", F.col("seg").alias("s")), parts.select(F.col("key").alias("v"), "f", F.col("seg").alias("t"))
     partial = pairs.join(a, "u").join(b, ["v", "f"]).select("u", "v", "n", "m", F.size(F.array_intersect("s", "t")).alias("o"))
     summed = partial.groupBy("u", "v", "n", "m").agg(F.sum("o").alias("o"))
-    few = summed.where(100 * F.col("o") >= PERCENT * (F.col("n") + F.col("m") - F.col("o"))).select("u", "v")
-    # larger buckets: a class goes with its largest bucket, in blocks of about BLOCK
-    large = table(met.where(F.col("c") > SMALL).select("gram", "key", "c"), "buckets")
-    led = large.groupBy("key").agg(F.max(F.struct("c", "gram")).alias("lead")).select("key", F.col("lead.gram").alias("lead"))
-    dealt = led.join(led.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "lead")
-    dealt = table(dealt.select("key", F.xxhash64("lead", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block")), "dealt")
-    touch = large.join(dealt, "key").select("gram", "block").distinct()
-    meet = touch.join(touch.withColumnRenamed("block", "block2"), "gram").where("block <= block2").select("block", "block2").distinct()
-    blocks = sets.select("key", "n", "grams").join(dealt, "key").groupBy("block").agg(F.collect_list(F.struct("key", "n", "grams")).alias("docs"))  # about BLOCK at most
-    many = meet.join(blocks.select("block", F.col("docs").alias("l")), "block").join(blocks.select(F.col("block").alias("block2"), F.col("docs").alias("r")), "block2")
-    return few.unionByName(many.select("l", "r").mapInArrow(_compare_blocks, "u long, v long"))
+    few = table(summed.where(100 * F.col("o") >= PERCENT * (F.col("n") + F.col("m") - F.col("o"))).select("u", "v"), "pairs")
+    met_few = few.unionByName(few.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(copies, F.col("v") == F.col("key")).select(F.col("u").alias("key"), F.col("copies").alias("c"))
+    counted = met_few.unionByName(many.where("v IS NULL").select(F.col("u").alias("key"), "c")).groupBy("key").agg(F.sum("c").alias("c"))
+    return few.unionByName(many.where("v IS NOT NULL").select("u", "v")), counted
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id; a row per row of docs."""
+def assigned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row, n_shingles, n_links, component_id, component; a row per row of docs. component: a key, null without shingles."""
     found = classes(docs, doc_id, text)
-    rows = found.where("grams IS NULL").select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"))
-    root = components(links(found))
-    least = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    least = least.join(root.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "least")
-    of = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = least.join(of, "root").select("key", "component_id")
-    got = rows.where("n_shingles > 0").join(known, "key").select("doc_id", "n_shingles", "component_id")
-    return got.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    rows = found.where("grams IS NULL").select("doc_id", "row", "key", F.col("n").cast("long").alias("n_shingles"))
+    sets = table(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "sets")
+    edges, counted = links(found, sets.select("key", "copies"))
+    root = table(components(edges), "roots")
+    ids = component_ids(root, sets.select(F.col("key").alias("node"), "least")).withColumnRenamed("node", "key")
+    told = sets.join(ids, "key").join(counted, "key", "left").join(root.withColumnRenamed("node", "key"), "key", "left")
+    told = table(told.select("key", (F.col("copies") - 1 + F.coalesce("c", F.lit(0))).alias("n_links"), "component_id", F.coalesce("root", "key").alias("component")), "told")
+    columns = ["doc_id", "row", "n_shingles", "n_links", "component_id", "component"]
+    none = rows.where("n_shingles = 0").withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    return rows.where("n_shingles > 0").join(told, "key").select(*columns).unionByName(none.select(*columns))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, and n_links: with how many other rows a row is linked; a row per row of docs."""
+    return assigned(docs, doc_id, text).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: the one with the least doc_id, nulls last."""
+    rows = table(assigned(docs, doc_id, text).where("component IS NOT NULL").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at")), "rows")
+    best = table(rows.groupBy("component").agg(F.min("at").alias("best"), F.count("*").alias("n")).where("n > 1"), "best")
+    members = rows.join(best, "component")
+    gone = members.where("at.row <> best.row").select(F.col("at.row").alias("__row")).distinct()
+    again = table(members.where("at.row = best.row").groupBy(F.col("at.row").alias("__row")).count().where("count > 1").select("__row"), "again")
+    marked = docs.withColumn("__row", row_hash(docs, doc_id, text))
+    kept = marked.join(gone, "__row", "left_anti")
+    if not again.isEmpty():  # rows that are equal in doc_id and text
+        whole = F.struct(*docs.columns)
+        one = kept.join(again, "__row").groupBy("__row").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("one"))
+        kept = kept.join(again, "__row", "left_anti").select(*docs.columns).unionByName(one.select("one.*"))
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,7 +412,8 @@ s AS (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT u, v FROM o JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * o >= 75 * (p.n + q.n - o)),
-r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.doc_id WHERE r.c < l.v)
-SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id
-FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.doc_id WHERE r.c < l.v),
+k AS (SELECT u AS doc_id, count(*) AS k FROM l GROUP BY u)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id, coalesce(any_value(k.k), 0) AS n_links
+FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
 """

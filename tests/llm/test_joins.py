@@ -12,6 +12,7 @@ def brute(rows):
         w = (t or "").encode().lower().split()
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     root = {i: i for i in sets}
+    links = dict.fromkeys(sets, 0)
 
     def find(x):
         while root[x] != x:
@@ -25,7 +26,9 @@ def brute(rows):
             if k and 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+                links[a] += 1
+                links[b] += 1
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
 def copies(seed, groups, size, words, edits):
@@ -52,7 +55,7 @@ def test_components_are_the_brute_force_ones(spark, monkeypatch, hot, small, blo
         monkeypatch.setattr(jaccard, name, v)
     rows = copies(hot, 25, 14, 80, 6)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.join(df).collect()}
     assert got == brute(rows)
 
 
@@ -61,7 +64,7 @@ def test_the_threshold_itself(spark):
     w = [f"a{i}" for i in range(11)]
     rows = [(1, " ".join(w)), (2, " ".join(w[:10] + ["z"])), (3, " ".join(w[1:])), (4, " ".join(["q", *w[1:11], "r"])), (5, "A0 a1\ta2 a3  a4 a5 a6 a7 a8 a9 a10")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()} == brute(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.join(df).collect()} == brute(rows)
 
 
 def test_odd(odd, none):
@@ -72,6 +75,21 @@ def test_odd(odd, none):
     assert {by[i]["component_id"] for i in (5, 6, 7, 8, 99)} == {5}
     assert all(by[i]["component_id"] == i and by[i]["n_shingles"] == 0 for i in (0, 1, 2))
     assert by[3]["n_shingles"] == 1 and by[None]["component_id"] is None
+    assert by[5]["n_links"] == 6 and by[0]["n_links"] == 0
+
+
+def test_one_row_stays_of_each_group(spark, odd, none):
+    assert not jaccard.keep_one(none).collect()
+    kept = jaccard.keep_one(odd)
+    assert kept.columns == odd.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+    assert got == sorted([(False, i) for i in (0, 1, 2, 3, 4, 5, 9, 10, 11, 12, 13)] + [(True, 0)])
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base, "a"), (1, base, "b"), (1, base + " x", "c"), (None, base + " y", "d"), (None, "other text", "e"), (None, "other text", "e"), (2, None, "f"), (2, None, "f")]
+    got = [jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)).collect() for n in (1, 4)]
+    assert sorted(map(repr, got[0])) == sorted(map(repr, got[1]))
+    assert sorted((r["text"] or "", r["doc_id"] or 0) for r in got[0])[:3] == [("", 2), ("", 2), ("other text", 0)]
+    assert len(got[0]) == 4 and sum(r["doc_id"] == 1 for r in got[0]) == 1
 
 
 def test_graph_components(spark):
