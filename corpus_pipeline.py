@@ -13,31 +13,33 @@ from freqforge.llm.common import read, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier doesn't reject."""
+    """Documents that the compression classifier doesn't reject. Null and empty texts have a score like any other, equal
+    texts the same one; without labels of both kinds the share of good ones decides; an empty table stays empty."""
     model = quality.fit(docs, quality.training_labels(read(spark, sf_dir, "labels")))
     return quality.with_score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id. Rows of one
-    doc_id are one document; null ids stay."""
-    found = jaccard.join(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: the one with the least doc_id, null ids last. Equal rows, rows that share
+    a doc_id and rows without one are near duplicates like any other; null texts and texts without words all stay."""
+    return jaccard.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by the name of their kind."""
+    """All documents, secrets replaced by the name of their kind and n_chars set to match; null and empty texts and ones
+    without a secret stay as they are, n_chars included; equal rows stay equal."""
     return secrets.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, nought to two times; a null source is a source, texts without words have
+    size 0; of equal rows all are taken or none, but for whole repetitions; an empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row per piece of a document, with its place."""
+    """Token sequences: a row per piece of a document, with its place. Null and empty texts are one end token; repeated
+    rows are packed one by one; an empty table gives no pieces."""
     return packing.pack_documents(docs, packing.tokenizer_file())
 
 
