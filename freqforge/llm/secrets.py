@@ -3,7 +3,7 @@
 Every layer of a text is scanned for three kinds: `assign` (a password, token or key with a
 value), `access` (an access key id) and `hex` (a long hexadecimal run). A layer's URL escapes, Unicode
 escapes, base64 tokens and compressed contents make further layers, which are scanned and
-unwrapped in turn until there are no new ones; a layer whose text has been seen before is not gone
+unwrapped in turn until there are no new ones; a layer whose text has been seen before at the same place is not gone
 through again, so cycles end. Each character of a layer knows the span of the original
 text it came from, and so does each finding.
 
@@ -382,7 +382,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         if layer is None:
             continue
         if layer.spans is not None:
-            mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + repr(layer.spans if isinstance(layer.spans, tuple) else layer.spans[:1]).encode()
+            mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), hash(tuple(layer.spans))
             if mark in seen or not layer.text:
                 continue
             seen.add(mark)

@@ -120,3 +120,12 @@ def test_ordinary_encoded_layers():
             text = before + one
             assert any(k == 0 for _, k, _ in secrets.scan(text)[1]), text
             assert S[9:25] not in secrets.redact(text, secrets.scan(text)[1])
+
+
+def test_equal_layers_at_several_places():
+    """What a layer holds counts wherever it stands, also where one token gives the same layer as another that begins with it."""
+    one = base64.b64encode(S.encode()).decode()
+    text = f"{one} x {one}"
+    got = {(s, e) for s, k, e in secrets.scan(text)[1] if k == 0}
+    assert len(got) == 2 and min(got)[1] <= len(one) and max(got)[0] >= len(one) + 3
+    assert S[9:25] not in secrets.redact(text, secrets.scan(text)[1])
