@@ -106,3 +106,13 @@ def test_notices(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[1]["labels"] == "bsd" and got[2]["labels"] == "" and got[3]["labels"] == "cc-by,cc-by-nc"
     assert got[1]["spans"][0]["start"] == 1
+
+
+def test_kin_are_told_apart(spark):
+    """Each notice's own sentence gives its label, and none that another one's sentence resembles."""
+    texts = [(x, k, s.replace("*", "")) for x, ss in licenses.NOTICES.items() for k, s in enumerate(ss)]
+    df = spark.createDataFrame([(i, "so " + t.upper() + " then") for i, (_, _, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(df).collect()}
+    own = {"gpl", "apache", "cc-by", "mit"}
+    for i, (label, _, _) in enumerate(texts):
+        assert got[i] - own - ({"cc-by-nc"} if label.startswith("cc-by-nc-") else set()) == {label}, (label, got[i])
