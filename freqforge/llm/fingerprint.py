@@ -6,7 +6,7 @@ sketch of the whole, and tell resemblance, containment and the number of distinc
 The printed fingerprint is the base64 of the hashes, six bytes each, so equal texts have equal ones.
 
 The query pairs each document with the next doc_id. Ranges of doc_id are windows of their own, cut
-at sampled ids; the first document of a range also appears, as a ghost, at the end of the range
+at sampled ids, into RANGES at most, so what the driver learns of the ids has a bound; the first document of a range also appears, as a ghost, at the end of the range
 before, so no window spans the table and text is shuffled once.
 
 Cases: null is an empty text; an empty text has an empty sketch, alike (1.0) to another empty one and unlike (0.0)
@@ -23,6 +23,7 @@ from .common import let, read
 K = 128
 WORDS = 5
 ROWS_A_RANGE = 2048
+RANGES = 1 << 13
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -86,7 +87,7 @@ def printed(a: Column) -> Column:
 def ranges(docs: DataFrame, key: str, rows: int = ROWS_A_RANGE) -> list:
     """Ids that open a range, ascending; the least id is the first."""
     n = docs.count()
-    parts = max(1, n // rows)
+    parts = min(RANGES, max(1, n // rows))
     cuts = [i / parts for i in range(1, parts)]
     least, got = docs.agg(F.min(key), F.percentile_approx(key, cuts or [0.5], max(10_000, 10 * parts))).first()
     return sorted({least, *(got or [] if cuts else [])} - {None})
