@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import graph as G
+from ..functions import topology as Y
 from ..functions.numerics import bounded_qp, minimise, normal_two_sided, t_two_sided
 from .fstats import F3_TERMS, combine, combs_table
 from .models import grid_stats
@@ -178,10 +179,10 @@ def score_pvalue(fits: list[float], tests: list[float]) -> float:
     return t_two_sided(float(d.mean() / (d.std(ddof=1) / np.sqrt(len(d)))), len(d) - 1)
 
 
-def enumerate_graphs(graphs: DataFrame, what: str) -> DataFrame:
+def enumerate_graphs(graphs: DataFrame, what) -> DataFrame:
     """Neighbours of each graph, one row each and none twice: parent, hash, edges. what: plusone, minusone, minusplus,
-    flips, split_trees, tree_neighbours, decomposed_tree_neighbours."""
-    step = getattr(G, what)
+    flips, split_trees, tree_neighbours, decomposed_tree_neighbours, or a function from a graph to graphs."""
+    step = what if callable(what) else getattr(G, what)
 
     def run(frames):
         for pdf in frames:
@@ -192,7 +193,9 @@ def enumerate_graphs(graphs: DataFrame, what: str) -> DataFrame:
 
 def summaries(graphs: DataFrame, what: str) -> DataFrame:
     """Per graph: descendants (node, leaf), numadmix (pop, n), zerof4 (pop1..pop4), eventorder (earlier1, earlier2, later1,
-    later2), triples (pop1, pop2, pop3, outgroup, n), proxies (pop, source, proxy), pair_percentages (pop1, pop2, share)."""
+    later2), triples (pop1, pop2, pop3, outgroup, n), proxies (pop, source, proxy), pair_percentages (pop1, pop2, share), and
+    those of functions.topology: count_admix, edge_targets, triplets, triplesig, triple_topology, root_paths, path_triples,
+    node_names, node_signature, condensed, pair_admix, invariants."""
     forms = {
         "descendants": ("node string, leaf string", lambda g: [(n, x) for n, ls in G.descendants(g).items() for x in ls]),
         "numadmix": ("pop string, n int", lambda g: list(G.numadmix_by_leaf(g).items())),
@@ -201,6 +204,18 @@ def summaries(graphs: DataFrame, what: str) -> DataFrame:
         "triples": ("pop1 string, pop2 string, pop3 string, outgroup string, n int", lambda g: [(*t, o, n) for t, k in G.triples(g).items() for o, n in k.items()]),
         "proxies": ("pop string, source string, proxy string", G.proxies),
         "pair_percentages": ("pop1 string, pop2 string, share double", lambda g: [(*k, v) for k, v in G.pair_percentages(g).items()]),
+        "count_admix": ("pop string, n int", lambda g: list(Y.count_admix(g).items())),
+        "edge_targets": ("from string, to string, targets array<string>, identifiable boolean", Y.edge_targets),
+        "triplets": ("outgroup string, pop1 string, pop2 string", lambda g: sorted(Y.tree_triplets(g))),
+        "triplesig": ("pop1 string, pop2 string, other string, inside boolean", lambda g: [(*k, v) for k, v in Y.triplesig(g).items()]),
+        "triple_topology": ("pop1 string, pop2 string, pop3 string, topo string", Y.triple_topology),
+        "root_paths": ("pop string, path array<string>, admedges array<string>", lambda g: [(p["pop"], p["path"], p["admedges"]) for p in Y.root_paths(g)]),
+        "path_triples": ("pop1 string, pop2 string, pop3 string, outgroup string", lambda g: [(p["pop1"], p["pop2"], p["pop3"], p["outgroup"]) for p in Y.path_triples(g)]),
+        "node_names": ("node string, name string", lambda g: list(zip(g.nodes, Y.rename_internal(g).nodes))),
+        "node_signature": ("node string, signature string", lambda g: list(Y.node_signature(g).items())),
+        "condensed": ("from string, to string", Y.condense_graph),
+        "pair_admix": ("pop1 string, pop2 string, dir int", lambda g: [(*k, v) for k, v in Y.pair_admix(g).items()]),
+        "invariants": ("pop1 string, pop2 string, pop3 string, pop4 string", Y.find_invariants),
     }
     schema, make = forms[what]
     return _per_graph(graphs, make, schema)
@@ -274,3 +289,92 @@ def pcs(wide: DataFrame, pops: list[str], k: int = 2) -> DataFrame:
     val, vec = np.linalg.eigh(m @ c @ m)
     top = np.argsort(val)[::-1][:k]
     return wide.sparkSession.createDataFrame([(p, *map(float, vec[i, top] * np.sqrt(np.maximum(val[top], 0)))) for i, p in enumerate(pops)], ", ".join(["pop string", *(f"pc{i + 1} double" for i in range(k))]))
+
+
+# --- guided search: scoring of variants, and the search as a table
+
+
+def evaluate(graphs: DataFrame, what, s: Stats, *, accept=None, ntry: int | None = None, starts: int = 3, seed: int = 0) -> DataFrame:
+    """The variants of each graph that ``enumerate_graphs`` gives, those that accept (graph -> bool) lets through, ntry of a
+    parent at most (a feature: the ones of the least hash), each fitted: parent, hash, edges, score, worst_residual."""
+    cands = enumerate_graphs(graphs, what)
+    if accept is not None:
+        cands = cands.where(F.udf(lambda e: bool(accept(_graph(e))), "boolean")("edges"))
+    if ntry is not None:
+        cands = cands.withColumn("k", F.row_number().over(Window.partitionBy("parent").orderBy("hash"))).where(F.col("k") <= ntry).drop("k")
+    shared = graphs.sparkSession.sparkContext.broadcast(s)
+
+    def run(frames):
+        for pdf in frames:
+            got = [fit_graph(_graph(e), shared.value, starts, seed) for e in pdf.edges]
+            yield pdf.assign(score=[x["score"] for x in got], worst_residual=[x["worst_residual"] for x in got])
+
+    # one parent's variants are many fits: they are dealt over all tasks by their own hash
+    return cands.repartition("hash").mapInPandas(run, f"parent long, hash string, edges {EDGES}, score double, worst_residual double")
+
+
+def eval_plusnadmix(graphs: DataFrame, s: Stats, n: int = 1, **how) -> DataFrame:
+    return evaluate(graphs, lambda g: Y.plusn([g], n), s, **how)
+
+
+def eval_minusnadmix(graphs: DataFrame, s: Stats, n: int = 1, **how) -> DataFrame:
+    return evaluate(graphs, lambda g: Y.minusn([g], n), s, **how)
+
+
+def eval_plusminusn(graphs: DataFrame, s: Stats, n: int = 1, **how) -> DataFrame:
+    """n admixture edges more and then n less."""
+    return evaluate(graphs, lambda g: Y.minusn(Y.plusn([g], n), n), s, **how)
+
+
+def eval_plusonepop(graphs: DataFrame, pop: str, s: Stats, **how) -> DataFrame:
+    """A population hung on every edge."""
+    return evaluate(graphs, lambda g: G.addleaf(g, pop), s, **how)
+
+
+def evaluate_moreadmix(spark: SparkSession, g: G.Graph, s: Stats, maxadmix: int, **how) -> DataFrame:
+    """The best graph of each number of admixture edges, each made from the one before: numadmix, hash, score, edges."""
+    rows, now = [], g
+    for n in range(g.numadmix + 1, maxadmix + 1):
+        best = eval_plusnadmix(graphs_table(spark, [now]), s, **how).orderBy("score", "hash").limit(1).collect()  # one row
+        if not best:
+            break
+        now = _graph([e.asDict() for e in best[0]["edges"]])
+        rows.append((n, best[0]["hash"], best[0]["score"], list(now.edges)))
+    return spark.createDataFrame(rows, f"numadmix int, hash string, score double, edges {EDGES}")
+
+
+def search_tree(log: DataFrame) -> DataFrame:
+    """The search of ``find_graphs`` as a tree: hash, lasthash, generation, score, children, best score among them, and the gain
+    over the graph it was made from."""
+    below = log.where("lasthash <> ''").groupBy(F.col("lasthash").alias("hash")).agg(F.count("*").alias("children"), F.min("score").alias("best_child"))
+    parent = log.groupBy(F.col("hash").alias("lasthash")).agg(F.min("score").alias("parent_score"))
+    own = log.select("hash", "lasthash", "generation", "score")
+    return own.join(below, "hash", "left").join(parent, "lasthash", "left").select(
+        "hash", "lasthash", "generation", "score", F.coalesce("children", F.lit(0)).alias("children"), "best_child", (F.col("parent_score") - F.col("score")).alias("gain"))
+
+
+def graph_potential(tree: DataFrame) -> DataFrame:
+    """How much a graph of the search is worth coming back to: the less its score above the best, the fewer its children and the
+    more they gained, the higher."""
+    top = tree.agg(F.min("score").alias("top"))
+    worth = F.col("top") / F.col("score") * F.coalesce(F.col("score") / F.col("best_child"), F.lit(1.0)) / (F.col("children") + 1)
+    return tree.crossJoin(F.broadcast(top)).withColumn("potential", worth).drop("top")  # top: one row
+
+
+def evolve(spark: SparkSession, s: Stats, *, numadmix: int = 0, outpop: str | None = None, numrep: int = 1, numgraphs: int = 50, numgen: int = 5, numsel: int = 5, initgraphs: list[G.Graph] | None = None, seed: int = 0, starts: int = 3) -> DataFrame:
+    """Independent repeats of an evolutionary search, all of a generation's graphs in one job: rep, generation, hash, score, edges.
+    Of each repeat numsel graphs are drawn by ``topology.score_to_prob`` and mutated."""
+    rng = random.Random(seed)
+    pops = sorted(s.pops)
+    now = {r: [*(initgraphs or []), *(G.random_graph(pops, numadmix, outpop, rng.randrange(1 << 30)) for _ in range(numgraphs - len(initgraphs or [])))] for r in range(numrep)}
+    log = []
+    for gen in range(numgen):
+        flat = [(r, g) for r, gs in now.items() for g in gs if g is not None]
+        got = {x["graph_id"]: x["score"] for x in qpgraph(graphs_table(spark, [g for _, g in flat]).repartition(len(flat)), s, starts, seed).groupBy("graph_id").agg(F.first("score").alias("score")).collect()}  # numrep * numgraphs rows
+        log += [(r, gen, G.graph_hash(g), got[i], list(g.edges)) for i, (r, g) in enumerate(flat)]
+        for r in now:
+            mine = [(got[i], g) for i, (x, g) in enumerate(flat) if x == r]
+            best = min(mine, key=lambda m: m[0])[1]
+            chosen = [best, *rng.choices([g for _, g in mine], [p + 1e-12 for p in Y.score_to_prob(max(v, 1.1) for v, _ in mine)], k=numsel - 1)]
+            now[r] = [best, *(G.mutate(rng.choice(chosen), rng.randint(1, 2), rng) for _ in range(numgraphs - 1))]
+    return spark.createDataFrame(log, f"rep int, generation int, hash string, score double, edges {EDGES}")

@@ -128,13 +128,6 @@ def graph_proxies(spark, d):
     return T.summaries(T.graphs_table(spark, [G.simplify(GRAPH)]), "proxies")
 
 
-@query("SELECT CAST(105 AS BIGINT) AS trees, CAST(105 AS BIGINT) AS hashes", "")
-def graph_all_trees(spark, d):
-    """(2n - 3)!! rooted trees of five leaves."""
-    trees = list(G.all_trees(POPS))
-    return spark.createDataFrame([(G.graph_hash(t),) for t in trees], "hash string").agg(F.count("*").alias("trees"), F.count_distinct("hash").alias("hashes"))
-
-
 @query()
 def graph_plusone(spark, d):
     return T.enumerate_graphs(T.graphs_table(spark, [TREE]), "plusone").select("parent", "hash")

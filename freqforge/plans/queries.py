@@ -524,7 +524,7 @@ def f2_from_individuals(spark, d):
 
 
 def queries():
-    from . import model_queries  # noqa: F401  registers its own
+    from . import graph_queries, model_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
