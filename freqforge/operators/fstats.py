@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,42 +156,105 @@ def average_f4blockdat(f4: DataFrame) -> DataFrame:
     return out.withColumn("est", (F.col("m0") + F.col("m1") + F.col("m2") + F.col("m3")) / 4).drop("m0", "m1", "m2", "m3")
 
 
+#: combinations of a broadcast piece, and cells (combinations x variants) of a step in a task
+COMBS_A_PIECE, CELLS = 1_000_000, 2_000_000
+
+
+def _task(shared, kernel):
+    """A block's rows -> the statistics of all combinations of a piece."""
+
+    def run(pdf):
+        names, c, model, rows = shared.value
+        v, col = np.unique(pdf["variant_idx"].to_numpy(), return_inverse=True)
+        row = pdf["pop"].map({p: i for i, p in enumerate(names)}).to_numpy()
+        p, n = np.full((len(names), len(v)), np.nan), np.full((len(names), len(v)), np.nan)
+        p[row, col], n[row, col] = pdf["p"].to_numpy(), pdf["n"].to_numpy()
+        parts = [np.zeros(len(c)) for _ in range(4)]
+        need = {m: np.isfinite(p[np.unique(c[model == m])]).all(0) for m in np.unique(model)}
+        step = max(1, CELLS // max(1, len(v)))
+        for m in np.unique(model):
+            of = np.flatnonzero(model == m)
+            for s in range(0, len(of), step):
+                at = of[s : s + step]
+                for part, x in zip(parts, kernel(p, n, c[at], need[m])):
+                    part[at] = x
+        got = parts[3] > 0
+        out = rows[got].copy()
+        out["block"] = pdf["block"].iloc[0]
+        for name, x in zip(("est", "den"), parts):
+            out[name] = x[got]
+        out["n"] = parts[2][got].astype(np.int64)
+        return out.reset_index(drop=True)
+
+    return run
+
+
+def _geno_blocks(af: DataFrame, blocks: DataFrame, combs: DataFrame, k: int, kernel) -> DataFrame:
+    """kernel(p, n, c, need) -> est, den, n, seen: for populations x variants of a block, rows of k populations and, for each, which
+    variants may count. A block's frequencies meet in one task as a matrix; its size follows from the genome and the number of
+    populations. Combinations are broadcast in pieces of COMBS_A_PIECE."""
+    keys = combs.columns
+    table = combs.toPandas()  # what is asked for, as numbers: k a row
+    names = sorted({p for i in range(k) for p in table[f"pop{i + 1}"]})
+    at = {p: i for i, p in enumerate(names)}
+    index = np.stack([table[f"pop{i + 1}"].map(at).to_numpy(np.int32) for i in range(k)], 1) if len(table) else np.zeros((0, k), np.int32)
+    model = table["model"].to_numpy() if "model" in keys else np.zeros(len(table), np.int64)
+    seen = af.where("p IS NOT NULL AND n > 0").where(F.col("pop").isin(names)).join(blocks.select("variant_idx", "block"), "variant_idx").select("block", "variant_idx", "pop", "p", F.col("n").cast("double").alias("n"))
+    kinds = {f.name: f.dataType.simpleString() for f in combs.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", block {dict(seen.dtypes)['block']}, est double, den double, n long"
+    out = None
+    for first in range(0, max(1, len(table)), COMBS_A_PIECE):
+        piece = slice(first, first + COMBS_A_PIECE)
+        shared = af.sparkSession.sparkContext.broadcast((names, index[piece], model[piece], table.iloc[piece]))
+
+        got = seen.groupBy("block").applyInPandas(_task(shared, kernel), schema)
+        out = got if out is None else out.unionByName(got)
+    nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select(*keys, "block", nan("est"), nan("den"), "n")
+
+
+def _means(num, den, counted, ok):
+    """Means of terms over variants: of num where counted, of den where ok; numbers of both."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        n, all_ = counted.sum(1), ok.sum(1)
+        return np.where(counted, num, 0.0).sum(1) / n, np.where(ok, den, 0.0).sum(1) / all_, n, all_
+
+
 def f4_geno_blocks(af: DataFrame, blocks: DataFrame, combs: DataFrame, *, allsnps: bool = True, poly_only: bool = False) -> DataFrame:
     """f4 and D terms from frequencies: block, pop1..pop4[, model], est, den, n. allsnps=False uses, for
     a model (all combinations if there is no column model), variants seen in all of its populations."""
-    keys = combs.columns
-    if "model" not in keys:
-        combs = combs.withColumn("model", F.lit(0))
-    need = combs.select("model", F.explode(F.array("pop1", "pop2", "pop3", "pop4")).alias("pop")).groupBy("model").agg(F.collect_set("pop").alias("need"))
-    c = combs.join(need, "model")
-    v = by_variant(af.where("p IS NOT NULL AND n > 0"), blocks).select("variant_idx", "block", F.map_from_entries(F.transform("pops", lambda x: F.struct(x["pop"], x["p"]))).alias("m"))
-    listed = c.agg(F.collect_list(F.struct(*keys, "need")).alias("cs"))  # the combinations asked for, one row
-    rows = v.crossJoin(F.broadcast(listed)).select("block", "m", F.inline("cs"))
-    p1, p2, p3, p4 = (F.try_element_at("m", f"pop{i}") for i in (1, 2, 3, 4))
-    rows = rows.select(*keys, "block", "m", "need", p1.alias("w"), p2.alias("x"), p3.alias("y"), p4.alias("z"))
-    if not allsnps:
-        rows = rows.where(F.forall("need", lambda q: F.map_contains_key("m", q)))
-    rows = rows.where("w IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
-    differ = (F.greatest("w", "x", "y", "z") != F.least("w", "x", "y", "z")) if poly_only else F.lit(True)
-    num = F.when(differ, (F.col("w") - F.col("x")) * (F.col("y") - F.col("z")))
-    den = (F.col("w") + F.col("x") - 2 * F.col("w") * F.col("x")) * (F.col("y") + F.col("z") - 2 * F.col("y") * F.col("z"))
-    return rows.groupBy(*keys, "block").agg(F.avg(num).alias("est"), F.avg(den).alias("den"), F.count(num).alias("n"))
+
+    def kernel(p, n, c, need):
+        w, x, y, z = (p[c[:, i]] for i in range(4))
+        ok = np.isfinite(w) & np.isfinite(x) & np.isfinite(y) & np.isfinite(z)
+        if not allsnps:
+            ok &= need
+        counted = ok & ~((w == x) & (x == y) & (y == z)) if poly_only else ok
+        return _means((w - x) * (y - z), (w + x - 2 * w * x) * (y + z - 2 * y * z), counted, ok)
+
+    return _geno_blocks(af, blocks, combs, 4, kernel)
 
 
 def f3_geno_blocks(af: DataFrame, blocks: DataFrame, combs: DataFrame, *, apply_corr: bool = True, outgroupmode: bool = False) -> DataFrame:
     """f3 terms from frequencies, unbiased for the first population: block, pop1..pop3, est, den, n."""
-    keys = combs.columns
-    v = by_variant(af.where("p IS NOT NULL AND n > 0"), blocks).select("block", F.map_from_entries(F.transform("pops", lambda x: F.struct(x["pop"], F.struct(x["p"].alias("p"), x["n"].alias("n"))))).alias("m"))
-    listed = combs.agg(F.collect_list(F.struct(*keys)).alias("cs"))
-    rows = v.crossJoin(F.broadcast(listed)).select("block", "m", F.inline("cs"))
-    rows = rows.select(*keys, "block", *[F.try_element_at("m", f"pop{i}").alias(f"q{i}") for i in (1, 2, 3)]).where("q1 IS NOT NULL AND q2 IS NOT NULL AND q3 IS NOT NULL")
-    a, n = F.col("q1.p"), F.col("q1.n")
-    h = F.try_divide(a * (1 - a), n - 1) * n  # heterozygosity / 2
-    num = (a - F.col("q2.p")) * (a - F.col("q3.p"))
-    if apply_corr:
-        num = num - F.when((F.col("pop1") == F.col("pop2")) | (F.col("pop1") == F.col("pop3")), 0.0).otherwise(F.try_divide(h, n))
-    den = F.lit(1.0) if outgroupmode else 2 * h
-    return rows.groupBy(*keys, "block").agg(F.avg(num).alias("est"), F.avg(den).alias("den"), F.count(num).alias("n"))
+
+    def kernel(p, n, c, need):
+        a, x, y, m = p[c[:, 0]], p[c[:, 1]], p[c[:, 2]], n[c[:, 0]]
+        ok = np.isfinite(a) & np.isfinite(x) & np.isfinite(y)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            h = np.where(m != 1, a * (1 - a) / (m - 1) * m, np.nan)  # heterozygosity / 2
+        num = (a - x) * (a - y)
+        if apply_corr:
+            own = (c[:, 0] == c[:, 1]) | (c[:, 0] == c[:, 2])
+            num = num - np.where(own[:, None], 0.0, h / m)
+        den = np.ones_like(num) if outgroupmode else 2 * h
+        counted = ok & np.isfinite(num)
+        some = ok & np.isfinite(den)
+        est, _, k, _ = _means(num, den, counted, counted)
+        _, mean, _, _ = _means(num, den, some, some)
+        return est, mean, k, ok.sum(1)
+
+    return _geno_blocks(af, blocks, combs, 3, kernel)
 
 
 def f4_from_afdat(wide: DataFrame, combs: list[tuple[str, str, str, str]], by: list[str] | None = None) -> DataFrame:
@@ -241,20 +306,37 @@ def individual_blocks(geno: DataFrame, blocks: DataFrame) -> DataFrame:
     return g.groupBy("sample_id", "block").agg(((F.avg(a) + F.avg(n - a)) / 2).alias("a"), F.avg(n).alias("n"))
 
 
+TILE = 2048
+
+
 def individual_pairs(geno: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per pair of samples and block: aa, nn over variants that both have."""
-    g = geno.where("dosage IS NOT NULL").join(blocks.select("variant_idx", "block"), "variant_idx").select("variant_idx", "block", "sample_id", F.col("dosage").cast("double").alias("g"))
-    l, r = (g.withColumnsRenamed({"sample_id": f"s{i}", "g": f"g{i}"}) for i in (1, 2))
-    both = l.join(r, ["variant_idx", "block"]).where("s1 <= s2")
-    aa = (F.col("g1") * F.col("g2") + (2 - F.col("g1")) * (2 - F.col("g2"))) / 2
-    return both.groupBy("s1", "s2", "block").agg(F.avg(aa).alias("aa"), F.lit(4.0).alias("nn"), F.count("*").alias("k"))
+    """Per pair of samples and block: aa, nn over variants that both have. A block's genotypes are a matrix in one task and pairs are
+    matrix products, TILE samples against TILE at a time."""
+    g = geno.where("dosage IS NOT NULL").join(blocks.select("variant_idx", "block"), "variant_idx").select("block", "variant_idx", "sample_id", F.col("dosage").cast("double").alias("g"))
+
+    def run(pdf):
+        v, col = np.unique(pdf["variant_idx"].to_numpy(), return_inverse=True)
+        names, row = np.unique(pdf["sample_id"].to_numpy().astype(str), return_inverse=True)
+        x, m = np.zeros((len(names), len(v))), np.zeros((len(names), len(v)))
+        x[row, col], m[row, col] = pdf["g"].to_numpy(), 1.0
+        out = []
+        for i in range(0, len(names), TILE):
+            for j in range(i, len(names), TILE):
+                a, b, p, q = x[i : i + TILE], x[j : j + TILE], m[i : i + TILE], m[j : j + TILE]
+                k = p @ q.T
+                aa = a @ b.T - a @ q.T - p @ b.T + 2 * k  # (x y + (2 - x) (2 - y)) / 2
+                r, c = np.nonzero((k > 0) & (np.arange(len(a))[:, None] + i <= np.arange(len(b))[None, :] + j))
+                out.append(pd.DataFrame({"s1": names[r + i], "s2": names[c + j], "block": pdf["block"].iloc[0], "aa": aa[r, c] / k[r, c], "nn": 4.0, "k": k[r, c].astype(np.int64)}))
+        return pd.concat(out)
+
+    return g.groupBy("block").applyInPandas(run, f"s1 string, s2 string, block {dict(g.dtypes)['block']}, aa double, nn double, k long")
 
 
 def f2_from_individuals(pairs_: DataFrame, samples: DataFrame) -> DataFrame:
     """Population f2 per block from products of individuals, each individual's own product left out of its
     population's. samples: sample_id, pop."""
     s = lambda i: samples.select(F.col("sample_id").alias(f"s{i}"), F.col("pop").alias(f"q{i}"))
-    rows = pairs_.where("s1 <> s2").join(F.broadcast(s(1)), "s1").join(F.broadcast(s(2)), "s2")
+    rows = pairs_.where("s1 <> s2").join(s(1), "s1").join(s(2), "s2")
     sim = rows.groupBy("block", F.least("q1", "q2").alias("pop1"), F.greatest("q1", "q2").alias("pop2")).agg((F.sum(F.col("aa") * F.col("k")) / F.sum(F.col("nn") * F.col("k"))).alias("phi"))
     own = sim.where("pop1 = pop2").select("block", F.col("pop1").alias("q"), F.col("phi").alias("w"))
     a, b = own.withColumnsRenamed({"q": "pop1", "w": "w1"}), own.withColumnsRenamed({"q": "pop2", "w": "w2"})

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 from ..functions import graph as G
 from ..operators import edges as X
 from ..operators import fstats as S
+from ..operators import fitted as V
 from ..operators import graphfit as T
 from ..operators import models as M
-from .queries import POPS, af_of, query, stat
+from ..operators import resampled as Z
+from ..sources.cache import written
+from .queries import _SYM, CTE, POPS, _f4sql, _jack, af_of, query, stat
 
 A, B, C, D, E = POPS
 GRAPH = G.Graph([("R", A), ("R", "u"), ("u", "v"), ("u", "w"), ("v", B), ("w", C), ("v", "m"), ("w", "m"), ("m", D), ("w", "x"), ("x", E)])
@@ -18,7 +21,8 @@ _GR = "tr(f, t) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in G.simplif
 
 
 def _f2(spark, d, kind="f2"):
-    x = stat(spark, d, kind)
+    """The block table, written once: models read it several times."""
+    x = written(stat(spark, d, kind), "f2-blocks")
     return S.scale_ap(x) if kind == "ap" else x
 
 
@@ -47,7 +51,7 @@ def qpadm_rotate(spark, d):
 
 @query()
 def qpadm_sweep(spark, d):
-    return M.qpadm_sweep(_f2(spark, d, "ap"), [A], {"one": [B], "two": [B, C]}, {"r": [D, E]}).select("source_set", "right_set", "f4rank", "dof", "chisq", "feasible")
+    return M.qpadm_sweep(_f2(spark, d, "ap"), [A], {"one": [B], "two": [B, C]}, {"r": [D, E]}).select("source_set", "right_set", "f4rank", "dof", "chisq", "p", "feasible")
 
 
 @query()
@@ -71,7 +75,7 @@ def smoothed_f2(spark, d):
 @query()
 def graph_fit(spark, d):
     s = T.f3_stats(_f2(spark, d), POPS)
-    return T.qpgraph(T.graphs_table(spark, [TREE, G.simplify(GRAPH)]), s, starts=3).select("graph_id", "from", "to", "type", "worst_residual")
+    return T.qpgraph(T.graphs_table(spark, [TREE, G.simplify(GRAPH)]), s, starts=3)
 
 
 @query()
@@ -81,12 +85,12 @@ def graph_f3_residuals(spark, d):
 
 @query()
 def graph_resample(spark, d):
-    return T.qpgraph_resample(T.graphs_table(spark, [TREE]), T.f3_stats(_f2(spark, d), POPS), nboot=8).select("graph_id", "rep", "error")
+    return T.qpgraph_resample(T.graphs_table(spark, [TREE]), T.f3_stats(_f2(spark, d), POPS), nboot=8)
 
 
 @query()
 def graph_search(spark, d):
-    return T.find_graphs(spark, T.f3_stats(_f2(spark, d), POPS), numgraphs=4, stop_gen=3, starts=1).select("generation", "hash", "lasthash", "mutations")
+    return T.find_graphs(spark, T.f3_stats(_f2(spark, d), POPS), numgraphs=4, stop_gen=3, starts=1).drop("edges")
 
 
 @query(f"SELECT 0 AS graph_id, a AS node, t AS leaf FROM cl WHERE t NOT IN (SELECT f FROM tr) AND a IN (SELECT f FROM tr)".replace("0 AS graph_id", "CAST(0 AS BIGINT) AS graph_id"),
@@ -164,6 +168,47 @@ def graph_to_qpadm(spark, d):
     return spark.createDataFrame(rows, "target string, l array<string>, r array<string>, rank1 int, rank2 int, valid boolean")
 
 
+# --- models with closed forms, and replicates
+
+_ONE = f"c4 AS (SELECT '{A}' AS pop1, '{B}' AS pop2, '{D}' AS pop3, '{E}' AS pop4)"
+_TWO = f"c4 AS (SELECT * FROM (VALUES ('{A}', '{B}', '{D}', '{E}'), ('{A}', '{C}', '{D}', '{E}')) v(pop1, pop2, pop3, pop4))"
+
+
+@query(f"""SELECT 0 AS model, 0 AS f4rank, 1 AS dof, round(any_value(e) * any_value(e) / (avg(power((1 / r) * e - (1 / r - 1) * loo - tot, 2) / (1 / r - 1)) * {1 + M.FUDGE}), 6) AS chisq
+FROM lo, (SELECT sum(tot - loo) + sum(r * loo) AS e FROM lo) x""", f"{CTE}, {_ONE}, {_SYM}" + _jack(_f4sql("a"), "pop1, pop2, pop3, pop4"))
+def qpwave_two_pops(spark, d):
+    """Whether two populations are a clade against two others: one f4, whose square over its variance is the statistic."""
+    f = _f2(spark, d, "ap")
+    return M.qpwave(f, M.models_table(f, [{"left": [A, B], "right": [D, E]}])).select("model", "f4rank", "dof", F.round("chisq", 6).alias("chisq"))
+
+
+_FITTED = "SELECT * FROM f0 UNION ALL SELECT b, pop1, 'fit', pop3, pop4, sum(CASE WHEN pop2 = '%s' THEN 0.6 ELSE 0.4 END * est), any_value(n) FROM f0 GROUP BY b, pop1, pop3, pop4" % B
+
+
+@query("SELECT pop1, pop2, pop3, pop4, round(est, 9) AS est, round(se, 9) AS se FROM jk", f"{CTE}, {_TWO}, {_SYM}, f0 AS ({_f4sql('a')})" + _jack(_FITTED, "pop1, pop2, pop3, pop4"))
+def fitted_f4(spark, d):
+    return V.fitted_f4(_f2(spark, d, "ap"), A, {B: 3.0, C: 2.0}, [D, E]).select("pop1", "pop2", "pop3", "pop4", "est", "se")
+
+
+@query("SELECT rep, pop1, pop2, pop3, pop4, round(est, 9) AS est, round(se, 9) AS se FROM jk", f"{CTE}, {_TWO}, {_SYM}, f0 AS ({_f4sql('a')})" + _jack("SELECT f0.*, x.b AS rep FROM f0 JOIN (SELECT DISTINCT b FROM f0) x ON x.b <> f0.b", "rep, pop1, pop2, pop3, pop4"))
+def f4_resampled(spark, d):
+    f = _f2(spark, d, "ap")
+    x = S.f4_blocks(f, S.combs_table(f, [(A, B, D, E), (A, C, D, E)])).withColumnRenamed("n_snps", "n")
+    return Z.statistics(x, ["pop1", "pop2", "pop3", "pop4"]).drop("z")
+
+
+@query()
+def qpadm_resampled(spark, d):
+    f = _f2(spark, d, "ap")
+    return Z.qpadm(f, M.models_table(f, [{"target": A, "left": [B, C], "right": [D, E]}]), nboot=10)
+
+
+@query()
+def qpwave_resampled(spark, d):
+    f = _f2(spark, d, "ap")
+    return Z.qpwave(f, M.models_table(f, [{"left": [A, B], "right": [C, D, E]}]))
+
+
 # --- edge tables
 
 def _edges(spark):

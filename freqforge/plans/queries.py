@@ -104,14 +104,16 @@ def discard_from_geno(spark, d):
     return A.discard_from_geno(individuals(geno(spark, d)), variants(spark, d), n, maxmiss=0.7, minmaf=0.3, poly_only=True)
 
 
-@query("""SELECT s AS sample_id, CAST(1 + coalesce(max(CAST(g = 1 AS INT)), 0) AS INT) AS ploidy FROM gi
-WHERE v IN (SELECT DISTINCT v FROM gi ORDER BY v LIMIT 3) GROUP BY s""", CTE + _IND)
+_PLOIDY = "(SELECT s, CAST(1 + coalesce(max(CAST(g = 1 AND t AS INT)), 0) AS INT) AS ploidy FROM gi LEFT JOIN (SELECT DISTINCT v, TRUE AS t FROM gi ORDER BY v LIMIT 1000) f USING (v) GROUP BY s)"
+
+
+@query(f"SELECT s AS sample_id, ploidy FROM {_PLOIDY}", CTE + _IND)
 def sample_ploidy(spark, d):
     return A.sample_ploidy(individuals(geno(spark, d)))
 
 
 @query(f"""SELECT gi.v AS variant_idx, pop, round(sum(g / (3e0 - ploidy)) / sum(ploidy), 9) AS p, CAST(sum(ploidy) AS DOUBLE) AS n FROM gi
-JOIN (SELECT s, 1 + coalesce(max(CAST(g = 1 AS INT)), 0) AS ploidy FROM gi WHERE v IN (SELECT DISTINCT v FROM gi ORDER BY v LIMIT 3) GROUP BY s) q ON q.s = gi.s GROUP BY gi.v, pop""", CTE + _IND)
+JOIN {_PLOIDY} q ON q.s = gi.s GROUP BY gi.v, pop""", CTE + _IND)
 def pseudohaploid_frequencies(spark, d):
     g = individuals(geno(spark, d))
     return A.allele_frequencies(g, A.sample_ploidy(g))
@@ -140,7 +142,7 @@ def structured_missingness(spark, d):
 
 # --- blocks
 
-_IRREG = """, w AS (SELECT v, chr, cm FROM va WHERE v % 7 <> 0 AND v % 5 <> 1),
+_IRREG = """, w AS (SELECT v, chr, cm FROM va),
 st(chr, cm) AS (SELECT chr, min(cm) FROM w GROUP BY chr
   UNION SELECT st.chr, (SELECT min(cm) FROM w WHERE w.chr = st.chr AND w.cm >= st.cm + 13) FROM st WHERE (SELECT min(cm) FROM w WHERE w.chr = st.chr AND w.cm >= st.cm + 13) IS NOT NULL),
 sn AS (SELECT chr, cm, row_number() OVER (ORDER BY chr, cm) AS b FROM st),

@@ -1,8 +1,11 @@
 """The f2 cache: Parquet tables with a JSON sidecar and an id that follows from inputs and filters."""
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,35 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(tmp, p)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder (spark.checkpoint.dir; where that is unset and Spark is one process, a
+    temporary one), so that what reads it several times doesn't make it several times. The files go when the session ends."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        folder = "file://" + tempfile.gettempdir()
+    path = f"{folder}/freqforge-tables/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        try:
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+        except Exception:  # the session has ended
+            pass
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def content_id(who: DataFrame, kept: DataFrame, blocks: DataFrame, **settings) -> str:
+    """An id of what goes into a cache: samples and their populations, variants, and blocks, in any order; not where they are."""
+    marks = [t.agg(F.count("*"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))).first() for t, cols in ((who, ["sample_id", "pop"]), (kept, ["variant_idx", "snp"]), (blocks, ["variant_idx", "block"]))]
+    return cache_id(contents=[[str(x) for x in m] for m in marks], **settings)
+
+
 def read_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/metadata.json", wholetext=True).first()[0])
 
@@ -75,16 +107,75 @@ def write_counts(geno: DataFrame, blocks: DataFrame, path: str) -> None:
 
 
 def group_samples(spark: SparkSession, path: str, inds: list[str], group: str) -> DataFrame:
-    """Samples added up to a group, appended to the table of individuals."""
+    """Samples added up to a group, appended to the table of individuals; a name that is there already is an error."""
     t = spark.read.parquet(f"{path}/individuals")
+    if not t.where(F.col("sample_id") == group).isEmpty():
+        raise ValueError(f"{group} is there already; delete_group first")
     g = t.where(F.col("sample_id").isin(inds)).groupBy("block").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).select(F.lit(group).alias("sample_id"), "block", "a", "n")
     g.write.mode("append").parquet(f"{path}/individuals")
+    write_text(spark, f"{path}/groups/{group}.json", json.dumps({"group": group, "samples": sorted(inds)}))
     return g
 
 
+def is_group(spark: SparkSession, path: str, name: str) -> bool:
+    fs, p = _fs(spark, f"{path}/groups/{name}.json")
+    return bool(fs.exists(p))
+
+
 def delete_group(spark: SparkSession, path: str, group: str) -> None:
+    """The table without the group is written and put in place before the old one goes."""
     kept = spark.read.parquet(f"{path}/individuals").where(F.col("sample_id") != group)
     kept.write.mode("overwrite").parquet(f"{path}/individuals.new")
-    fs, old = _fs(spark, f"{path}/individuals")
+    fs, now = _fs(spark, f"{path}/individuals")
+    new, old = (_fs(spark, f"{path}/individuals.{x}")[1] for x in ("new", "old"))
+    fs.delete(old, True)
+    fs.rename(now, old)
+    fs.rename(new, now)
     fs.delete(old, True)
-    fs.rename(_fs(spark, f"{path}/individuals.new")[1], old)
+    fs.delete(_fs(spark, f"{path}/groups/{group}.json")[1], False)
+
+
+def is_cache(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds an f2 cache."""
+    fs, p = _fs(spark, f"{path}/pairs")
+    return bool(fs.exists(p))
+
+
+# --- frequencies on disk, and the way from them to f2 in two steps
+
+
+def write_frequencies(af: DataFrame, kept: DataFrame, path: str, overwrite: bool = False) -> None:
+    """af and its variants, so that filters and blocks can be chosen later; frequencies lie by population."""
+    mode = "overwrite" if overwrite else "error"
+    af.repartition("pop").write.mode(mode).partitionBy("pop").parquet(f"{path}/frequencies")
+    kept.write.mode(mode).parquet(f"{path}/variants")
+
+
+def read_frequencies(spark: SparkSession, path: str, pops: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """af and variants; populations that aren't asked for aren't read."""
+    af = spark.read.parquet(f"{path}/frequencies")
+    return af.where(F.col("pop").isin(pops)) if pops else af, spark.read.parquet(f"{path}/variants")
+
+
+def extend_counts(geno: DataFrame, blocks: DataFrame, path: str, new: list[str]) -> None:
+    """Statistics of further samples, alone and with all that are there, appended. geno holds both."""
+    from ..operators.fstats import individual_blocks, individual_pairs
+
+    fresh = geno.where(F.col("sample_id").isin(new))
+    individual_blocks(fresh, blocks).write.mode("append").parquet(f"{path}/individuals")
+    pairs = individual_pairs(geno, blocks).where(F.col("s1").isin(new) | F.col("s2").isin(new))
+    pairs.write.mode("append").parquet(f"{path}/individual_pairs")
+
+
+def read_individuals(spark: SparkSession, path: str, inds: list[str] | None = None) -> DataFrame:
+    t = spark.read.parquet(f"{path}/individuals")
+    return t.where(F.col("sample_id").isin(inds)) if inds else t
+
+
+def read_pairs(spark: SparkSession, path: str, inds: list[str] | None = None, inds2: list[str] | None = None) -> DataFrame:
+    """Pairs of one list of samples with another, or within one."""
+    t = spark.read.parquet(f"{path}/individual_pairs")
+    if not inds:
+        return t
+    a, b = list(inds), list(inds2 or inds)
+    return t.where((F.col("s1").isin(a) & F.col("s2").isin(b)) | (F.col("s1").isin(b) & F.col("s2").isin(a)))

@@ -1,7 +1,7 @@
-"""Genotype files: PLINK BED, PACKEDANCESTRYMAP and EIGENSTRAT, read as (variant_idx, sample_id, pop, dosage).
+"""Genotype files: PLINK BED, PACKEDANCESTRYMAP (also transposed) and EIGENSTRAT, read as (variant_idx, sample_id, pop, dosage).
 
-Binary files are cut into ranges of variants; each task opens its range through Spark's binaryFile source
-or, for one large file, through a Python data source whose partitions are byte ranges.
+All of them are records of one length: of a variant or, in transposed files, of a sample. A Python data source cuts a file
+into ranges of records; each task opens its range alone.
 """
 from __future__ import annotations
 
@@ -36,6 +36,17 @@ def is_packed(path: str) -> bool:
         return f.read(4) in (b"GENO", b"TGEN")
 
 
+def is_transposed(path: str) -> bool:
+    with open(path, "rb") as f:
+        return f.read(4) == b"TGEN"
+
+
+def line_width(path: str) -> int:
+    """Bytes of a line of a text file whose lines are all as long."""
+    with open(path, "rb") as f:
+        return len(f.readline())
+
+
 def samples(spark: SparkSession, prefix: str, kind: str | None = None) -> pd.DataFrame:
     """sample_id, sex, pop in file order."""
     kind = kind or format_of(prefix)
@@ -118,7 +129,8 @@ class _Range(InputPartition):
 
 
 class GenotypeSource(DataSource):
-    """format("freqforge-geno"): options path, kind (plink or packedancestrymap), samples (number), from, to (variants)."""
+    """format("freqforge-geno"): options path, kind (plink, packedancestrymap, transposed or eigenstrat), samples and, for
+    transposed files, variants (numbers), from, to (variants)."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,16 +143,28 @@ class GenotypeSource(DataSource):
         return _Reader(self.options)
 
 
+def decode_lines(raw: bytes, width: int, n: int) -> np.ndarray:
+    """Lines of digits, 9 missing -> records x n."""
+    d = np.frombuffer(raw, np.uint8).reshape(-1, width)[:, :n].astype(np.int8) - 48
+    return np.where(d == 9, -1, d).astype(np.int8)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path, self.kind, self.n = options["path"], options["kind"], int(options["samples"])
-        self.width = -(-self.n // 4) if self.kind == "plink" else max(PACKED_MIN_RECORD, -(-self.n // 4))
-        self.skip = len(BED_MAGIC) if self.kind == "plink" else self.width
-        total = (os.path.getsize(self.path) - self.skip) // self.width
-        self.first, self.last = int(options.get("from", 0)), min(total, int(options.get("to", total)))
+        self.cells = int(options["variants"]) if self.kind == "transposed" else self.n  # of a record
+        packed = max(PACKED_MIN_RECORD, -(-self.cells // 4))
+        self.width = {"plink": -(-self.n // 4), "eigenstrat": int(options.get("width", self.n + 1))}.get(self.kind, packed)
+        self.skip = {"plink": len(BED_MAGIC), "eigenstrat": 0, "transposed": PACKED_MIN_RECORD}.get(self.kind, self.width)
+        size = os.path.getsize(self.path) - self.skip
+        total = -(-size // self.width) if self.kind == "eigenstrat" else size // self.width  # the last line may have no end
+        self.between = int(options.get("from", 0)), int(options.get("to", 1 << 62))
+        a, b = (0, self.n) if self.kind == "transposed" else self.between
+        self.first, self.last = a, min(total, b)
 
     def partitions(self):
-        return [_Range(a, min(self.last, a + VARIANTS_A_TASK)) for a in range(self.first, self.last, VARIANTS_A_TASK)] or [_Range(0, 0)]
+        step = max(1, VARIANTS_A_TASK * self.n // max(1, self.cells)) if self.kind == "transposed" else VARIANTS_A_TASK
+        return [_Range(a, min(self.last, a + step)) for a in range(self.first, self.last, step)] or [_Range(0, 0)]
 
     def read(self, part):
         import pyarrow as pa
@@ -148,8 +172,16 @@ class _Reader(DataSourceReader):
         with open(self.path, "rb") as f:
             f.seek(self.skip + part.first * self.width)
             raw = f.read((part.last - part.first) * self.width)
-        g = (decode_bed if self.kind == "plink" else decode_packed)(raw, self.n)
-        v, s = np.meshgrid(np.arange(part.first, part.last, dtype=np.int64), np.arange(self.n, dtype=np.int32), indexing="ij")
+        if self.kind == "eigenstrat":
+            g = decode_lines(raw.ljust((part.last - part.first) * self.width, b"\n"), self.width, self.n)
+        else:
+            g = (decode_bed if self.kind == "plink" else decode_packed)(raw, self.cells)
+        if self.kind == "transposed":
+            a, b = max(0, self.between[0]), min(self.cells, self.between[1])
+            g = g[:, a:b]
+            s, v = np.meshgrid(np.arange(part.first, part.last, dtype=np.int32), np.arange(a, b, dtype=np.int64), indexing="ij")
+        else:
+            v, s = np.meshgrid(np.arange(part.first, part.last, dtype=np.int64), np.arange(self.n, dtype=np.int32), indexing="ij")
         flat = g.ravel()
         yield pa.RecordBatch.from_arrays([pa.array(v.ravel()), pa.array(s.ravel()), pa.array(flat, mask=flat < 0)], names=["variant_idx", "sample_no", "dosage"])
 
@@ -164,18 +196,19 @@ def genotypes(spark: SparkSession, prefix: str, inds: list[str] | None = None, p
     keep = who.reset_index(names="sample_no")
     keep = keep[(keep.sample_id.isin(inds) if inds else True) & (keep["pop"].isin(pops) if pops else True)] if inds or pops else keep
     a, b = (first or 1) - 1, last if last is not None else 1 << 62
-    if kind == "eigenstrat":
-        lines = spark.read.text(prefix + ".geno", wholetext=True).select(F.posexplode(F.split(F.rtrim(F.regexp_replace("value", r"\s+$", "")), r"\r?\n")).alias("variant_idx", "line"))
-        rows = lines.where(F.col("variant_idx").between(a, b - 1)).select(F.col("variant_idx").cast("long").alias("variant_idx"), F.posexplode(F.filter(F.split("line", ""), lambda c: c != "")).alias("sample_no", "c"))
-        rows = rows.select("variant_idx", "sample_no", F.when(F.col("c") != "9", F.col("c").cast("int")).cast("byte").alias("dosage"))
-    elif kind == "pfile":
+    if kind == "pfile":
         raise NotImplementedError(".pgen records aren't decoded; convert to .bed")
-    else:
-        spark.dataSource.register(GenotypeSource)
-        path = prefix + (".bed" if kind == "plink" else ".geno")
-        rows = spark.read.format("freqforge-geno").option("path", path).option("kind", kind).option("samples", len(who)).option("from", a).option("to", b).load()
+    spark.dataSource.register(GenotypeSource)
+    path = prefix + (".bed" if kind == "plink" else ".geno")
+    src = spark.read.format("freqforge-geno").option("path", path).option("samples", len(who)).option("from", a).option("to", b)
+    if kind == "eigenstrat":
+        src = src.option("width", line_width(path))
+    elif kind == "packedancestrymap" and is_transposed(path):
+        with open(prefix + ".snp") as f:
+            kind, src = "transposed", src.option("variants", sum(bool(x.strip()) for x in f))
+    rows = src.option("kind", kind).load()
     names = spark.createDataFrame(keep[["sample_no", "sample_id", "pop"]], "sample_no int, sample_id string, pop string")
-    return rows.join(F.broadcast(names), "sample_no").select("variant_idx", "sample_id", "pop", "dosage")
+    return rows.join(names, "sample_no").select("variant_idx", "sample_id", "pop", "dosage")
 
 
 def _matrix(geno: DataFrame, order: list[str]) -> np.ndarray:
