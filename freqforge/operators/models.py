@@ -121,7 +121,9 @@ def popdrop(x: np.ndarray, q: np.ndarray, fudge: float = FUDGE, constrained: boo
 
 
 def weight_errors(loo: np.ndarray, shape: tuple[int, int], q: np.ndarray, fudge: float = FUDGE, constrained: bool = False) -> np.ndarray:
-    """Standard errors over leave-one-out replicates, scaled by sqrt(m - 1)."""
+    """Standard errors over leave-one-out replicates, scaled by sqrt(m - 1); a single source's weight is 1 without error."""
+    if shape[0] == 1:
+        return np.zeros(1)
     w = np.array([mixture_weights(row.reshape(shape), q, fudge, constrained=constrained) for row in loo]) * np.sqrt(len(loo) - 1)
     return w.std(0, ddof=1)
 

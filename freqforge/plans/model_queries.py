@@ -26,46 +26,119 @@ def _f2(spark, d, kind="f2"):
     return S.scale_ap(x) if kind == "ap" else x
 
 
-@query()
+# Grids of one or two cells have closed forms: their SQL knows nothing of factors, iterations or solvers.
+
+_F = M.FUDGE
+
+
+def _cells(models: list[tuple]) -> str:
+    """cells(m, k, pop1..pop4) of (first, left after the first, right) a model."""
+    rows = []
+    for m, (first, left, right) in enumerate(models):
+        grid = [(first, x, right[0], y) for x in left for y in right[1:]]
+        rows += [(m, k + 1, *c) for k, c in enumerate(grid)]
+    return "cells(m, k, pop1, pop2, pop3, pop4) AS (VALUES " + ", ".join(str(r) for r in rows) + ")"
+
+
+def _grid_sql(models: list[tuple]) -> str:
+    """CTEs lo (m, b, r, l1, l2), gs (m, nb, e1, e2, s11, s12, s22: jackknifed cells and the covariance; f11, f22, det: with the
+    fudge), r0 (chi square of rank 0) and, for two sources, r1 (y1, y2: the fitted factor; w1, w2; chi square of rank 1)."""
+    return f"""{CTE}, {_SYM}, {_cells(models)},
+g0 AS (SELECT m, k, p.b, (p.a + q.a - r.a - s.a) / 2 AS est, p.n FROM cells JOIN sy p ON p.x = pop1 AND p.y = pop4 JOIN sy q ON q.x = pop2 AND q.y = pop3 AND q.b = p.b
+JOIN sy r ON r.x = pop1 AND r.y = pop3 AND r.b = p.b JOIN sy s ON s.x = pop2 AND s.y = pop4 AND s.b = p.b),
+g1 AS (SELECT m, b, max(est) FILTER (k = 1) AS x1, coalesce(max(est) FILTER (k = 2), 0) AS x2, max(n) AS n FROM g0 WHERE est IS NOT NULL GROUP BY m, b HAVING count(*) = (SELECT max(c.k) FROM cells c WHERE c.m = g0.m)),
+g2 AS (SELECT *, n * 1e0 / sum(n) OVER (PARTITION BY m) AS r, sum(x1 * n) OVER (PARTITION BY m) / sum(n) OVER (PARTITION BY m) AS t1, sum(x2 * n) OVER (PARTITION BY m) / sum(n) OVER (PARTITION BY m) AS t2 FROM g1),
+lo AS (SELECT *, (t1 - x1 * r) / (1 - r) AS l1, (t2 - x2 * r) / (1 - r) AS l2 FROM g2),
+g3 AS (SELECT *, sum(t1 - l1) OVER (PARTITION BY m) + sum(r * l1) OVER (PARTITION BY m) AS e1, sum(t2 - l2) OVER (PARTITION BY m) + sum(r * l2) OVER (PARTITION BY m) AS e2 FROM lo),
+g4 AS (SELECT *, ((1 / r) * e1 - (1 / r - 1) * l1 - t1) / sqrt(1 / r - 1) AS d1, ((1 / r) * e2 - (1 / r - 1) * l2 - t2) / sqrt(1 / r - 1) AS d2 FROM g3),
+g5 AS (SELECT m, count(*) AS nb, any_value(e1) AS e1, any_value(e2) AS e2, avg(d1 * d1) AS s11, avg(d1 * d2) AS s12, avg(d2 * d2) AS s22 FROM g4 GROUP BY m),
+g6 AS (SELECT *, s11 + {_F} * (s11 + s22) AS f11, s22 + {_F} * (s11 + s22) AS f22 FROM g5),
+gs AS (SELECT *, f11 * f22 - s12 * s12 AS det FROM g6),
+r0 AS (SELECT m, CASE WHEN s22 = 0 THEN e1 * e1 / f11 ELSE (f22 * e1 * e1 - 2 * s12 * e1 * e2 + f11 * e2 * e2) / det END AS chisq FROM gs),
+y0 AS (SELECT *, {_F} * (f11 + f22) / det AS la FROM gs WHERE s22 > 0),
+y1 AS (SELECT *, (1 + la * f11) * (1 + la * f22) - la * la * s12 * s12 AS dd FROM y0),
+y2 AS (SELECT *, ((1 + la * f22) * e1 - la * s12 * e2) / dd AS y1, ((1 + la * f11) * e2 - la * s12 * e1) / dd AS y2 FROM y1),
+y3 AS (SELECT *, y2 / (y2 - y1) AS w1, y1 / (y1 - y2) AS w2, (f22 * y1 * e1 - s12 * (y1 * e2 + y2 * e1) + f11 * y2 * e2) / ((f22 * y1 * y1 - 2 * s12 * y1 * y2 + f11 * y2 * y2) * {1 + _F}) AS c FROM y2),
+r1 AS (SELECT *, (f22 * (e1 - c * y1) * (e1 - c * y1) - 2 * s12 * (e1 - c * y1) * (e2 - c * y2) + f11 * (e2 - c * y2) * (e2 - c * y2)) / det AS chisq FROM y3)"""
+
+
+def _tail1(chisq: str) -> str:
+    """Upper tail of a chi square of one degree, by Simpson's rule."""
+    return f"(SELECT 1 - sqrt(2 / pi() * {chisq}) / 6000 * sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-{chisq} * (k / 2000e0) * (k / 2000e0) / 2)) FROM range(0, 2001) t(k))"
+
+
+_RCOND = "((s11 + s22) - sqrt((s11 - s22) * (s11 - s22) + 4 * s12 * s12)) / ((s11 + s22) + sqrt((s11 - s22) * (s11 - s22) + 4 * s12 * s12))"
+
+
+@query(f"""SELECT CAST(m AS INT) AS model, '{A}' AS target, s.source, round(w, 9) AS weight, round(se, 9) AS se, round(w / se, 9) AS z, round({_RCOND}, 9) AS rcond FROM r1 JOIN
+(SELECT m, '{B}' AS source, any_value(w1) AS w, stddev_samp(v) * sqrt(count(*) - 1) AS se FROM wl GROUP BY m UNION ALL SELECT m, '{C}', any_value(w2), stddev_samp(1 - v) * sqrt(count(*) - 1) FROM wl GROUP BY m) s USING (m) WHERE m = 0
+UNION ALL SELECT 1, '{E}', '{B}', 1e0, 0e0, NULL, round({_RCOND}, 9) FROM gs WHERE m = 1""",
+       _grid_sql([(A, [B, C], [D, E]), (E, [B], [A, C, D])]) + """,
+wy AS (SELECT r1.m, w1, w2, ((1 + la * f22) * l1 - la * s12 * l2) / dd AS z1, ((1 + la * f11) * l2 - la * s12 * l1) / dd AS z2 FROM r1 JOIN lo ON lo.m = r1.m AND r1.m = 0),
+wl AS (SELECT m, w1, w2, z2 / (z2 - z1) AS v FROM wy)""")
 def qpadm_weights(spark, d):
     f = _f2(spark, d, "ap")
     return M.qpadm(f, M.models_table(f, [{"target": A, "left": [B, C], "right": [D, E]}, {"target": E, "left": [B], "right": [A, C, D]}]))
 
 
-@query()
+@query("""SELECT 0 AS model, 0 AS f4rank, 2 AS dof, round(chisq, 9) AS chisq, round(exp(-chisq / 2), 9) AS p, CAST(NULL AS DOUBLE) AS dofdiff, CAST(NULL AS DOUBLE) AS chisqdiff, CAST(NULL AS DOUBLE) AS p_nested FROM r0 WHERE m = 0
+UNION ALL SELECT 1, 0, 2, round(chisq, 9), round(exp(-chisq / 2), 9), NULL, NULL, NULL FROM r0 WHERE m = 1
+UNION ALL SELECT 1, 1, 0, round(r1.chisq, 9), NULL, 2e0, round(r0.chisq - r1.chisq, 9), round(exp((r1.chisq - r0.chisq) / 2), 9) FROM r1 JOIN r0 USING (m) WHERE m = 1""",
+       _grid_sql([(A, [B], [C, D, E]), (A, [B, C], [D, E])]))
 def qpwave_ranks(spark, d):
     f = _f2(spark, d, "ap")
-    return M.with_p(M.qpwave(f, M.models_table(f, [{"left": [A, B], "right": [C, D, E]}, {"left": [A, B, C], "right": [D, E]}])).withColumn("z", F.sqrt("chisq")).drop("p", "target"))
+    return M.qpwave(f, M.models_table(f, [{"left": [A, B], "right": [C, D, E]}, {"left": [A, B, C], "right": [D, E]}])).drop("target").withColumn("dofdiff", F.col("dofdiff").cast("double"))
 
 
-@query()
+@query(f"""SELECT '00' AS pat, 0 AS wt, 0 AS dof, round(chisq, 9) AS chisq, CAST(NULL AS DOUBLE) AS p, 1 AS f4rank, w1 BETWEEN 0 AND 1 AND w2 BETWEEN 0 AND 1 AS feasible, TRUE AS best FROM r1 WHERE m = 0
+UNION ALL SELECT pat, 1, 1, round(q, 9), round({_tail1('q')}, 9), 0, TRUE, q = min(q) OVER () FROM (SELECT '01' AS pat, e1 * e1 / f11 AS q FROM gs UNION ALL SELECT '10', e2 * e2 / f22 FROM gs) u""", _grid_sql([(A, [B, C], [D, E])]))
 def qpadm_popdrop(spark, d):
     f = _f2(spark, d, "ap")
-    return M.qpadm_popdrop(f, M.models_table(f, [{"target": A, "left": [B, C], "right": [D, E]}])).select("pat", "wt", "dof", "chisq", "f4rank", "feasible", "best")
+    return M.qpadm_popdrop(f, M.models_table(f, [{"target": A, "left": [B, C], "right": [D, E]}])).select("pat", "wt", "dof", "chisq", "p", "f4rank", "feasible", "best")
 
 
-@query()
+@query(f"SELECT CAST(m AS INT) AS model, '{A}' AS target, 0 AS f4rank, 2 AS dof, round(chisq, 9) AS chisq, round(exp(-chisq / 2), 9) AS p, TRUE AS feasible FROM r0",
+       _grid_sql([(A, [x], [y for y in POPS[1:] if y != x]) for x in POPS[1:]]))
 def qpadm_rotate(spark, d):
     return M.qpadm_rotate(_f2(spark, d, "ap"), [B, C, D, E], A).select("model", "target", "f4rank", "dof", "chisq", "p", "feasible")
 
 
-@query()
+@query(f"""SELECT 'one' AS source_set, 'r' AS right_set, 0 AS f4rank, 1 AS dof, round(chisq, 9) AS chisq, round({_tail1('chisq')}, 9) AS p, TRUE AS feasible FROM r0 WHERE m = 0
+UNION ALL SELECT 'two', 'r', 1, 0, round(chisq, 9), NULL, w1 BETWEEN 0 AND 1 AND w2 BETWEEN 0 AND 1 FROM r1 WHERE m = 1""", _grid_sql([(A, [B], [D, E]), (A, [B, C], [D, E])]))
 def qpadm_sweep(spark, d):
     return M.qpadm_sweep(_f2(spark, d, "ap"), [A], {"one": [B], "two": [B, C]}, {"r": [D, E]}).select("source_set", "right_set", "f4rank", "dof", "chisq", "p", "feasible")
 
 
-@query()
+@query(f"SELECT pop1, pop2, round(chisq, 9) AS chisq, round(exp(-chisq / 2), 9) AS p FROM r0, (VALUES ('{A}', '{B}'), ('{B}', '{A}')) v(pop1, pop2)", _grid_sql([(A, [B], [C, D, E])]))
 def qpwave_pairs(spark, d):
     return M.qpwave_pairs(_f2(spark, d, "ap"), [A, B], [C, D, E])
 
 
-@query()
+_LAZ = f"""{CTE}, {_SYM}, rt(p) AS (VALUES ('{C}'), ('{D}'), ('{E}')), tr AS (SELECT a.p AS p2, b.p AS p3, c.p AS p4 FROM rt a, rt b, rt c WHERE b.p < c.p AND a.p <> b.p AND a.p <> c.p),
+po(i, p1) AS (VALUES (0, '{A}'), (1, '{B}'), (2, '{C}')),
+z0 AS (SELECT i, p2, p3, p4, p.b, (p.e + q.e - r.e - s.e) / 2 AS est, p.n FROM po, tr JOIN sy p ON p.x = p1 AND p.y = p4 JOIN sy q ON q.x = p2 AND q.y = p3 AND q.b = p.b JOIN sy r ON r.x = p1 AND r.y = p3 AND r.b = p.b JOIN sy s ON s.x = p2 AND s.y = p4 AND s.b = p.b),
+z1 AS (SELECT *, n * 1e0 / sum(n) OVER (PARTITION BY i, p2, p3, p4) AS r, sum(est * n) OVER (PARTITION BY i, p2, p3, p4) / sum(n) OVER (PARTITION BY i, p2, p3, p4) AS tot FROM z0),
+z2 AS (SELECT i, p2, p3, p4, b, r, (tot - est * r) / (1 - r) AS v FROM z1 UNION ALL SELECT DISTINCT i, p2, p3, p4, CAST(-1 AS INT), CAST(0 AS DOUBLE), tot FROM z1),
+z3 AS (SELECT p2, p3, p4, b, any_value(r) AS r, max(v) FILTER (i = 0) AS y, max(v) FILTER (i = 1) AS s, max(v) FILTER (i = 2) AS t FROM z2 GROUP BY p2, p3, p4, b),
+z4 AS (SELECT b, any_value(r) AS r, 1e-12 * sum(s * s + t * t) AS ri, sum((s - t) * (y - t)) AS nu, sum((s - t) * (s - t)) AS de FROM z3 GROUP BY b),
+z5 AS (SELECT b, r, greatest(0, least(1, (nu + ri) / (de + 2 * ri))) AS w FROM z4),
+z6 AS (SELECT any_value(w) AS w FROM z5 WHERE b = -1),
+z7 AS (SELECT sqrt(avg((w - mu) * (w - mu) * (1 / r - 1))) AS se FROM z5, (SELECT avg(w) AS mu FROM z5 WHERE b >= 0) x WHERE b >= 0)"""
+
+
+@query(f"""SELECT 0 AS model, '{A}' AS target, source, round(v, 9) AS weight, round(se, 9) AS se, round(v / se, 9) AS z
+FROM z7, (SELECT '{B}' AS source, w AS v FROM z6 UNION ALL SELECT '{C}', 1 - w FROM z6) x""", _LAZ)
 def lazadm_weights(spark, d):
     f = _f2(spark, d)
     return M.lazadm(f, M.models_table(f, [{"target": A, "left": [B, C], "right": [C, D, E]}]))
 
 
-@query()
+# A complete design is symmetric in the five populations: f2 tables that are sums of a value a population have eigenvalue 1 in it,
+# tables without such a part have 4, so the ridge shrinks the two parts by 1 / (1 + ridge) and 4 / (4 + ridge).
+@query("SELECT CAST(b AS INT) AS block, pop1, pop2, round(y - sum(y * n) OVER w / sum(n) OVER w + sum(f2 * n) OVER w / sum(n) OVER w, 9) AS est, n AS n_snps FROM m2 WINDOW w AS (PARTITION BY pop1, pop2)",
+       f"""{CTE}, m0 AS (SELECT pb.b, pop1, pop2, f2, n_snps AS n FROM pb JOIN bn ON bn.b = pb.b WHERE pop1 < pop2), mv AS (SELECT b, p, sum(f2) AS s FROM (SELECT b, pop1 AS p, f2 FROM m0 UNION ALL SELECT b, pop2, f2 FROM m0) GROUP BY b, p),
+m1 AS (SELECT m0.*, (x.s + z.s) / 3 - sum(f2) OVER (PARTITION BY m0.b) / 6 AS part FROM m0 JOIN mv x ON x.b = m0.b AND x.p = pop1 JOIN mv z ON z.b = m0.b AND z.p = pop2),
+m2 AS (SELECT *, part / 1.00001e0 + (f2 - part) * 4 / 4.00001e0 AS y FROM m1)""")
 def smoothed_f2(spark, d):
     f = _f2(spark, d)
     combs = [(a, b, a, b) for a, b in S.popcombs(POPS, 2)] + S.popcombs(POPS, 4)
