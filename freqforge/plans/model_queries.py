@@ -19,6 +19,13 @@ TREE = G.newick_to_graph(f"({A},(({B},{C}),({D},{E})))")
 _TREE = "tr(f, t) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in TREE.edges) + ")"
 _GR = "tr(f, t) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in G.simplify(GRAPH).edges) + ")"
 
+#: Both graphs: ge (edges, admixture edges marked), le (leaves), te (the edges that embedded tree k keeps; one admixture node at
+#: most), tc (k, a, t: t is a or below it).
+_TWO_GRAPHS = """ge(i, f, t, adm) AS (SELECT *, count(*) OVER (PARTITION BY i, t) > 1 FROM (VALUES %s) v(i, f, t)), le AS (SELECT DISTINCT i, t AS x FROM ge WHERE NOT EXISTS (SELECT 1 FROM ge z WHERE z.i = ge.i AND z.f = ge.t)),
+te AS (SELECT i, k, f, t FROM (SELECT *, row_number() OVER (PARTITION BY i, t ORDER BY f) AS o FROM ge) e JOIN (SELECT i, unnest(CASE WHEN bool_or(adm) THEN [1, 2] ELSE [1] END) AS k FROM ge GROUP BY i) USING (i) WHERE NOT adm OR o = k),
+tc(i, k, a, t) AS (SELECT DISTINCT i, k, t, t FROM te UNION SELECT te.i, te.k, te.f, tc.t FROM tc JOIN te ON te.i = tc.i AND te.k = tc.k AND te.t = tc.a)""" % ", ".join(
+    f"(CAST({i} AS BIGINT), '{a}', '{b}')" for i, g in enumerate((TREE, G.simplify(GRAPH))) for a, b in g.edges)
+
 
 def _f2(spark, d, kind="f2"):
     """The block table, written once: models read it several times."""
@@ -185,22 +192,34 @@ def graph_pair_percentages(spark, d):
     return T.summaries(T.graphs_table(spark, [G.simplify(GRAPH)]), "pair_percentages")
 
 
-@query()
+@query("""SELECT pop1, pop2, pop3, pop4, count(*) AS n_graphs, round(count(*) / 2e0, 9) AS share FROM qu WHERE NOT EXISTS (
+SELECT 1 FROM df x JOIN df y ON x.i = y.i AND x.e = y.e WHERE x.i = qu.i AND x.p = pop1 AND x.q = pop2 AND y.p = pop3 AND y.q = pop4) GROUP BY 1, 2, 3, 4""", _TWO_GRAPHS + """,
+ch AS (SELECT DISTINCT i, k FROM te), pa AS (SELECT ge.i, ch.k, ge.f || '>' || ge.t AS e, x, EXISTS (SELECT 1 FROM tc WHERE tc.i = ge.i AND tc.k = ch.k AND tc.a = ge.t AND tc.t = x) AS passes FROM ge JOIN ch ON ch.i = ge.i JOIN le ON le.i = ge.i WHERE NOT adm),
+df AS (SELECT DISTINCT a.i, a.e, a.x AS p, b.x AS q FROM pa a JOIN pa b ON a.i = b.i AND a.k = b.k AND a.e = b.e AND a.passes <> b.passes),
+fo AS (SELECT a.i, a.x AS a, b.x AS b, c.x AS c, d.x AS d FROM le a JOIN le b ON a.i = b.i AND a.x < b.x JOIN le c ON a.i = c.i AND b.x < c.x JOIN le d ON a.i = d.i AND c.x < d.x),
+qu AS (SELECT i, a AS pop1, b AS pop2, c AS pop3, d AS pop4 FROM fo UNION ALL SELECT i, a, c, b, d FROM fo UNION ALL SELECT i, a, d, b, c FROM fo)""")
 def graph_zero_f4(spark, d):
     return T.summary_support(T.summaries(T.graphs_table(spark, [TREE, G.simplify(GRAPH)]), "zerof4"))
 
 
-@query()
+@query("""SELECT CAST(0 AS BIGINT) AS graph_id, p.x AS earlier1, p.y AS earlier2, q.x AS later1, q.y AS later2 FROM sp p JOIN sp q ON q.n <> p.n AND EXISTS (SELECT 1 FROM tc WHERE i = 0 AND a = p.n AND t = q.n)""", _TWO_GRAPHS + """,
+sp AS (SELECT u.a AS n, x.x, y.x AS y FROM le x JOIN le y ON x.i = 0 AND y.i = 0 AND x.x < y.x JOIN tc u ON u.i = 0 AND u.t = x.x JOIN tc w ON w.i = 0 AND w.t = y.x AND w.a = u.a
+WHERE NOT EXISTS (SELECT 1 FROM te c JOIN tc m ON m.i = 0 AND m.a = c.t AND m.t = x.x JOIN tc o ON o.i = 0 AND o.a = c.t AND o.t = y.x WHERE c.i = 0 AND c.f = u.a))""")
 def graph_event_order(spark, d):
     return T.summaries(T.graphs_table(spark, [TREE]), "eventorder")
 
 
-@query()
+@query("""SELECT i AS graph_id, x1 AS pop1, x2 AS pop2, x3 AS pop3, CASE WHEN ab THEN x3 WHEN ac THEN x2 WHEN bc THEN x1 ELSE '' END AS outgroup, CAST(count(*) AS INT) AS n FROM (
+SELECT i, k, x1, x2, x3, bool_or(h1 AND h2 AND NOT h3) AS ab, bool_or(h1 AND h3 AND NOT h2) AS ac, bool_or(h2 AND h3 AND NOT h1) AS bc FROM (
+SELECT tc.i, k, a, x1, x2, x3, bool_or(t = x1) AS h1, bool_or(t = x2) AS h2, bool_or(t = x3) AS h3 FROM tc JOIN th ON th.i = tc.i GROUP BY ALL) GROUP BY ALL) GROUP BY ALL""", _TWO_GRAPHS + """,
+th AS (SELECT p.i, p.x AS x1, q.x AS x2, r.x AS x3 FROM le p JOIN le q ON p.i = q.i AND p.x < q.x JOIN le r ON p.i = r.i AND q.x < r.x)""")
 def graph_triples(spark, d):
     return T.summaries(T.graphs_table(spark, [TREE, G.simplify(GRAPH)]), "triples")
 
 
-@query()
+@query("""SELECT CAST(0 AS BIGINT) AS graph_id, s.x AS pop, c.p AS source, o.t AS proxy FROM ct c JOIN un s ON s.a = c.n JOIN un o ON o.a = c.top WHERE NOT EXISTS (SELECT 1 FROM un z WHERE z.a = c.n AND z.x = o.x)
+AND c.d = (SELECT min(y.d) FROM ct y WHERE y.n = c.n AND y.p = c.p AND EXISTS (SELECT 1 FROM un v WHERE v.a = y.top AND NOT EXISTS (SELECT 1 FROM un z WHERE z.a = c.n AND z.x = v.x)))""".replace("o.t AS", "o.x AS"), _TWO_GRAPHS + """,
+un AS (SELECT DISTINCT a, x FROM tc JOIN le ON le.i = tc.i AND le.x = tc.t WHERE tc.i = 1), ct(n, p, top, d) AS (SELECT t, f, f, 0 FROM ge WHERE i = 1 AND adm UNION ALL SELECT n, p, f, d + 1 FROM ct JOIN ge ON i = 1 AND ge.t = ct.top)""")
 def graph_proxies(spark, d):
     return T.summaries(T.graphs_table(spark, [G.simplify(GRAPH)]), "proxies")
 
