@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ship import ship
 from ..operators import af as A
 from ..operators import blocks as B
+from ..operators import compare as K
 from ..operators import fstats as S
 from ..operators import resample as R
 from .observations import BLOCK_CM, CTE, geno, individuals, variants
@@ -62,6 +63,60 @@ def stat(spark, d, kind: str) -> DataFrame:
     return S.pair_blocks(af_of(spark, d), bl).select("block", "pop1", "pop2", F.col(kind).alias("est")).join(F.broadcast(B.block_lengths(bl)), "block")
 
 
+# --- tables against each other
+
+@query(f"SELECT coalesce(x.v, y.v) AS variant_idx, {_r('x.p AS p_a', 'y.p AS p_b', 'x.p - y.p AS diff')} FROM (SELECT * FROM af WHERE pop = 'ASIA') x FULL JOIN (SELECT * FROM af WHERE pop = 'EUROPE') y ON x.v = y.v")
+def compare_frequencies(spark, d):
+    af = af_of(spark, d)
+    return K.compare_tables(af.where("pop = 'ASIA'"), af.where("pop = 'EUROPE'"), ["variant_idx"], "p")
+
+
+@query(f"SELECT va.v AS variant_idx, {_r('p', 'n')} FROM (SELECT * FROM af WHERE pop = 'AFRICA') x RIGHT JOIN va ON x.v = va.v")
+def coverage(spark, d):
+    """One population's frequencies over all variants."""
+    return K.onto(af_of(spark, d).where("pop = 'AFRICA'").select("variant_idx", "p", "n"), variants(spark, d).select("variant_idx"), ["variant_idx"])
+
+
+_SOME = "sm AS (SELECT va.v, chr, f.p FROM va LEFT JOIN (SELECT v, p FROM af WHERE pop = 'AFRICA' AND n > 8) f ON f.v = va.v)"
+
+
+def _some(spark, d):
+    """Variants with a frequency where four samples or more have been seen."""
+    af = af_of(spark, d).where("pop = 'AFRICA' AND n > 8").select("variant_idx", "p")
+    return K.onto(af, variants(spark, d).select("variant_idx", "chr"), ["variant_idx"])
+
+
+@query(f"SELECT v AS variant_idx, {_r('v * 1e3 - lag(v * 1e3) OVER w AS before', 'lead(v * 1e3) OVER w - v * 1e3 AS after')} FROM sm WHERE p IS NOT NULL WINDOW w AS (PARTITION BY chr ORDER BY v)", f"{CTE}, {_SOME}")
+def neighbour_distances(spark, d):
+    return K.neighbours(_some(spark, d).where("p IS NOT NULL").withColumn("pos", 1000.0 * F.col("variant_idx")))
+
+
+@query("""SELECT v AS variant_idx, CAST(chr AS VARCHAR) AS chr, round(coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY chr ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+first_value(p IGNORE NULLS) OVER (PARTITION BY chr ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS p FROM sm""", f"{CTE}, {_SOME}")
+def filled_frequencies(spark, d):
+    return K.fill(_some(spark, d), "p")
+
+
+@query("""SELECT CAST(chr AS VARCHAR) AS chr, min(v) AS start, max(v) AS stop, seen, count(*) AS length FROM (SELECT *, v - row_number() OVER (PARTITION BY chr, seen ORDER BY v) AS island
+FROM (SELECT v, chr, p IS NOT NULL AS seen FROM sm)) GROUP BY chr, seen, island""", f"{CTE}, {_SOME}")
+def runs_of_data(spark, d):
+    """Stretches of variants with data and without."""
+    return K.runs(_some(spark, d).withColumn("seen", F.col("p").isNotNull()), "seen")
+
+
+@query("SELECT v AS variant_idx, CAST(chr AS VARCHAR) AS chr, round(p, 9) AS p FROM sm QUALIFY row_number() OVER (PARTITION BY chr ORDER BY p DESC NULLS LAST, v) <= 3", f"{CTE}, {_SOME}")
+def most_frequent(spark, d):
+    """The three variants of a chromosome with the highest frequencies."""
+    return K.best(_some(spark, d), ["chr"], "p", 3)
+
+
+@query("SELECT variant_idx, side FROM (SELECT v AS variant_idx, 'both' AS side FROM af WHERE pop = 'ASIA' INTERSECT SELECT v, 'both' FROM af WHERE pop = 'EUROPE') UNION ALL SELECT variant_idx, side FROM (SELECT v AS variant_idx, 'ASIA' AS side FROM af WHERE pop = 'ASIA' EXCEPT SELECT v, 'ASIA' FROM af WHERE pop = 'EUROPE')")
+def shared_variants(spark, d):
+    af = af_of(spark, d)
+    a, b = (af.where(F.col("pop") == p) for p in ("ASIA", "EUROPE"))
+    return K.shared(a, b, "variant_idx").withColumn("side", F.lit("both")).unionByName(K.only(a, b, "variant_idx").withColumn("side", F.lit("ASIA")))
+
+
 # --- frequencies and filters
 
 @query(f"SELECT v AS variant_idx, pop, {_r('p', 'n')} FROM af")
