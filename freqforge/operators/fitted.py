@@ -123,3 +123,14 @@ def find_right(f4: DataFrame, target: str, left: list[str], alpha: float = 0.01)
     f4(target, source; pop3, pop4) has p below alpha, the most first."""
     rows = f4.where((F.col("pop1") == target) & F.col("pop2").isin(left) & (F.col("p") < alpha))
     return rows.groupBy("pop3", "pop4").agg(F.count("*").alias("sources"), F.min("p").alias("p")).orderBy(F.desc("sources"), "p", "pop3", "pop4")
+
+
+def f4_to_triples(f4: DataFrame) -> DataFrame:
+    """f4(outgroup, pop2; pop3, pop4) with z -> of each triple of the other populations the one that is most clearly outside of
+    the other two: p1, p2, p3, out, support (mean |z|). A negative z says that pop2 is nearer to pop3."""
+    rows = f4.where("pop2 <> pop3 AND pop2 <> pop4 AND pop3 < pop4 AND z IS NOT NULL")
+    t = F.sort_array(F.array("pop2", "pop3", "pop4"))
+    rows = rows.select(t[0].alias("p1"), t[1].alias("p2"), t[2].alias("p3"), F.when(F.col("z") < 0, F.col("pop4")).otherwise(F.col("pop3")).alias("out"), F.abs("z").alias("a"))
+    mean = rows.groupBy("p1", "p2", "p3", "out").agg(F.avg("a").alias("support"))
+    top = mean.groupBy("p1", "p2", "p3").agg(F.max(F.struct("support", "out")).alias("m"))
+    return top.select("p1", "p2", "p3", F.col("m.out").alias("out"), F.col("m.support").alias("support"))

@@ -361,6 +361,25 @@ def graph_potential(tree: DataFrame) -> DataFrame:
     return tree.crossJoin(F.broadcast(top)).withColumn("potential", worth).drop("top")  # top: one row
 
 
+def pick_graph(tree: DataFrame, *, patience: int = 3, greedy: float = 0.5, seed: int = 0) -> DataFrame:
+    """The graph of ``search_tree`` to go on from, one row: the best one while nothing has been made from it, while it is no older
+    than patience generations, or in the share greedy of all cases; else one of those nothing has been made from, drawn with
+    weight potential to the tenth power."""
+    rng = random.Random(seed)
+    best = tree.orderBy("score", "hash").limit(1)
+    first, last = best.select("children", "generation").first(), tree.agg(F.max("generation")).first()[0]
+    if first is None or not first["children"] or last - first["generation"] < patience or rng.random() < greedy:
+        return best
+    u = (F.pmod(F.xxhash64("hash", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    open_ = graph_potential(tree).where("children = 0")  # the least of exponential waiting times is a weighted draw
+    return open_.orderBy(-F.log(u) / F.pow("potential", F.lit(10.0)), "hash").limit(1).select(tree.columns)
+
+
+def pick_earlier(tree: DataFrame, generation: int) -> DataFrame:
+    """Going back: the best graph nothing has been made from, of the last generation before this one that has any; one row."""
+    return tree.where((F.col("generation") < generation) & (F.col("children") == 0)).orderBy(F.desc("generation"), "score", "hash").limit(1)
+
+
 def evolve(spark: SparkSession, s: Stats, *, numadmix: int = 0, outpop: str | None = None, numrep: int = 1, numgraphs: int = 50, numgen: int = 5, numsel: int = 5, initgraphs: list[G.Graph] | None = None, seed: int = 0, starts: int = 3) -> DataFrame:
     """Independent repeats of an evolutionary search, all of a generation's graphs in one job: rep, generation, hash, score, edges.
     Of each repeat numsel graphs are drawn by ``topology.score_to_prob`` and mutated."""

@@ -9,6 +9,7 @@ from ..operators import fstats as S
 from ..operators import fitted as V
 from ..operators import graphfit as T
 from ..operators import models as M
+from ..operators import resample as R
 from ..operators import resampled as Z
 from ..sources.cache import written
 from .queries import _SYM, CTE, POPS, _f4sql, _jack, af_of, query, stat
@@ -289,6 +290,19 @@ def f4_resampled(spark, d):
     return Z.statistics(x, ["pop1", "pop2", "pop3", "pop4"]).drop("z")
 
 
+_OUT = [(A, x, y, z) for x in POPS[1:] for y in POPS[1:] for z in POPS[1:] if y < z and x not in (y, z)]
+
+
+@query("""SELECT p1, p2, p3, out, round(support, 9) AS support FROM (SELECT t[1] AS p1, t[2] AS p2, t[3] AS p3, out, avg(abs(z)) AS support FROM (
+SELECT list_sort([pop2, pop3, pop4]) AS t, CASE WHEN est < 0 THEN pop4 ELSE pop3 END AS out, est / se AS z FROM jk) GROUP BY t, out) QUALIFY row_number() OVER (PARTITION BY p1, p2, p3 ORDER BY support DESC, out DESC) = 1""",
+       f"{CTE}, c4 AS (SELECT * FROM (VALUES {', '.join(map(str, _OUT))}) v(pop1, pop2, pop3, pop4)), {_SYM}" + _jack(_f4sql("a"), "pop1, pop2, pop3, pop4"))
+def triples_of_f4(spark, d):
+    f = _f2(spark, d, "ap")
+    k = ["pop1", "pop2", "pop3", "pop4"]
+    x = S.f4_blocks(f, S.combs_table(f, _OUT)).withColumnRenamed("n_snps", "n")
+    return V.f4_to_triples(R.with_z(R.jackknife(R.est_to_loo(x, k), k)))
+
+
 @query()
 def qpadm_resampled(spark, d):
     f = _f2(spark, d, "ap")
