@@ -122,9 +122,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     return model
 
 
-def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES
-    return add_columns(docs, text, "score double", [pa.float64()], lambda: shared.value.scorer())
+    return add_columns(docs, text, f"{score} double", [pa.float64()], lambda: shared.value.scorer())
+
+
+def kept(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs that aren't rejected, their columns as they are, one that is named `score` too."""
+    name, taken = "score", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return with_score(docs, model, text, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

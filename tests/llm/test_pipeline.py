@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from freqforge.llm import jaccard, quality, secrets
 
@@ -28,6 +30,18 @@ def test_odd(spark, odd, none, tmp_path):
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     for docs in (odd, none):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, str(tmp_path)).cache()
-        docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, str(tmp_path)).cache()
+            n, m = before.count(), docs.count()
+            if name != "best_fit_packing":
+                assert docs.columns == before.columns and docs.dtypes == before.dtypes
+            if name in ("quality_classifier", "ngram_jaccard_join"):
+                assert m <= n and not docs.exceptAll(before).count()
+            if name == "ngram_jaccard_join":  # what has no words stays, and one of those that are alike
+                blank = F.coalesce(F.trim(F.translate("text", "\t\n", "  ")), F.lit("")) == ""
+                assert before.where(blank).count() == docs.where(blank).count() and docs.where("text LIKE 'the quick%' AND text NOT LIKE '%today'").count() <= 1
+            if name == "secret_scans":
+                assert m == n
+            if name == "mixing":
+                assert m <= 2 * n and not docs.subtract(before).count()
+        assert docs.where("piece = 0").count() == before.count()
