@@ -6,7 +6,6 @@ written as Parquet and read again. All but the last return the columns of `docum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from freqforge.llm import jaccard, mixing, packing, quality, secrets
 from freqforge.llm.common import read, table
@@ -16,7 +15,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the compression classifier doesn't reject. Null and empty texts have a score like any other, equal
     texts the same one; without labels of both kinds the share of good ones decides; an empty table stays empty."""
     model = quality.fit(docs, quality.training_labels(read(spark, sf_dir, "labels")))
-    return quality.with_score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
