@@ -16,7 +16,7 @@ COPIES = 1 << 20
 
 def with_reps(blocks: DataFrame, nboot: int | None = None, seed: str = "0") -> DataFrame:
     """A table of block statistics for each replicate: rep is the block that is left out or, with nboot, a number; a block that is
-    drawn more than once is so many blocks."""
+    drawn more than once is so many blocks. Without nboot its rows grow with the square of the blocks."""
     if nboot is None:
         return R.loo_list(blocks)
     drawn = R.draws(blocks, nboot, seed).select("rep", F.col("block").alias("__b"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__copy"))
@@ -25,6 +25,8 @@ def with_reps(blocks: DataFrame, nboot: int | None = None, seed: str = "0") -> D
 
 def statistics(blocks: DataFrame, keys: list[str], nboot: int | None = None, seed: str = "0") -> DataFrame:
     """rep, keys, est, se, z of f2, f3 or f4 block statistics (keys, block, est, n), each replicate jackknifed on its own."""
+    if nboot is None:
+        return R.with_z(R.loo_jackknife(blocks, keys))
     k = ["rep", *keys]
     return R.with_z(R.jackknife(R.est_to_loo(with_reps(blocks, nboot, seed), k), k))
 
