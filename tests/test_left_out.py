@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from freqforge.operators import resample as R
+from freqforge.operators import models as M
 from freqforge.operators import resampled as Z
 
 
@@ -47,3 +47,40 @@ def test_statistics_move_rows_a_block(spark):
     before = shuffled(spark)
     assert Z.statistics(df, ["key"]).count() == 3000
     assert shuffled(spark) - before < 2_000_000
+
+
+def test_moments_without_each_block():
+    """Against grid_stats on the other blocks; one weight is larger than all others, some weights are alike."""
+    rng = np.random.default_rng(3)
+    b, w = rng.normal(2, 1, (9, 4)), np.array([7, 7, 7, 3, 25, 25, 1, 200, 12.0])
+    seen = {}
+    for u, at, x, shared in Z.left_out(b, w):
+        for k, row in zip(at, x):
+            seen[k] = Z.moments(row, shared)
+        if u == 0:
+            whole = Z.moments(np.zeros(4), shared)
+    for k, got in [*seen.items(), (None, whole)]:
+        keep = np.arange(9) != k
+        want = M.grid_stats(b[keep], w[keep])
+        assert all(np.allclose(g, v, rtol=1e-10, atol=1e-14) for g, v in zip(got, want))
+    assert len(seen) == 9
+
+
+def test_models_move_rows_a_block(spark, monkeypatch):
+    """1500 blocks of a model, two of them incomplete, in several pieces: each replicate is the model of the other blocks."""
+    monkeypatch.setattr(Z, "PIECE", 500)
+    pops = list("ABCDE")
+    pairs = [(p, q) for i, p in enumerate(pops) for q in pops[i + 1 :]]
+    rng = random.Random(2)
+    rows = [(b, p, q, rng.random(), 1 + b % 9) for b in range(1500) for p, q in pairs if not (b in (3, 700) and p == "A")]
+    f2 = spark.createDataFrame(rows, "block int, pop1 string, pop2 string, est double, n_snps long").cache()
+    f2.count()
+    models = M.models_table(f2, [{"left": ["A", "B"], "right": ["C", "D", "E"]}, {"left": ["B", "C"], "right": ["D", "E"]}])
+    before = shuffled(spark)
+    got = {(r["model"], r["rep"]): r for r in Z.qpwave(f2, models).collect()}
+    assert shuffled(spark) - before < 2_000_000
+    assert len(got) == 3000 and {r["f4rank"] for r in got.values()} == {0}
+    for rep in (0, 3, 8, 1499):
+        one = {r["model"]: r for r in M.qpwave(f2.where(f"block <> {rep}"), models).collect()}
+        for m in one:
+            assert all(math.isclose(got[m, rep][c], one[m][c], rel_tol=1e-8, abs_tol=1e-12) for c in ("chisq", "p"))
