@@ -3,9 +3,12 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from freqforge.operators import models as M
+from freqforge.operators import resample as R
 from freqforge.operators import resampled as Z
+from freqforge.plans import queries as Q
 
 
 def shuffled(spark) -> int:
@@ -84,3 +87,20 @@ def test_models_move_rows_a_block(spark, monkeypatch):
         one = {r["model"]: r for r in M.qpwave(f2.where(f"block <> {rep}"), models).collect()}
         for m in one:
             assert all(math.isclose(got[m, rep][c], one[m][c], rel_tol=1e-8, abs_tol=1e-12) for c in ("chisq", "p"))
+
+
+def test_means_without_each_block(spark):
+    """As of the tables themselves: weights alike and not, a key that lacks blocks, one with a single block."""
+    rows = [("p", b, 0.1 * b * b, n) for b, n in enumerate([7, 7, 3, 25, 100])] + [("q", 1, 2.0, 4), ("q", 3, None, 5), ("q", 4, 1.0, 2), ("s", 9, 1.0, 2)]
+    df = spark.createDataFrame(rows, "key string, block int, est double, n long").repartition(3)
+    got = {(r["key"], r["rep"]): r["est"] for r in R.loo_means(df, ["key"]).collect()}
+    want = {(r["key"], r["rep"]): r["est"] for r in R.loo_list(df).where("est IS NOT NULL").groupBy("key", "rep").agg((F.sum(F.col("est") * F.col("n")) / F.sum("n")).alias("est")).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+    more = R.loo_means(df, ["key"], spark.range(9, 12).withColumnRenamed("id", "block"))  # a block without rows leaves the whole
+    assert {(r["key"], r["rep"]): round(r["est"], 9) for r in more.where("key <> 'p'").collect()} == {("q", k): round(10 / 6, 9) for k in (9, 10, 11)} | {("s", 10): 1.0, ("s", 11): 1.0}
+
+
+def test_loo_list_has_no_row_for_each_pair_of_blocks(spark):
+    """No join by inequality is left in the query, whose rows would be pairs of blocks."""
+    plan = Q.queries()["loo_list"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "NOT (" not in "".join(line for line in plan.splitlines() if "Join" in line)
